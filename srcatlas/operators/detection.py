@@ -1,7 +1,7 @@
 """Findings from code elements: dangerous calls, secrets, SQL put together in a literal.
 
-All three are row-wise over ``elements`` (one of them with a small rule table),
-so none shuffles. ``scan_findings`` is a bag: one literal may give a secret and
+Calls meet a small rule table, literals are looked at one by one: two passes over
+``elements``, each reading the rows of its kind only, and no shuffle. ``scan_findings`` is a bag: one literal may give a secret and
 an SQL finding.
 """
 
@@ -17,12 +17,11 @@ from srcatlas.functions import columns as C
 from srcatlas.operators.graph import node_id
 
 
-def _finding(elements: DataFrame, phase: int, **values: Column) -> DataFrame:
+def _finding(elements: DataFrame, **values: Column) -> DataFrame:
     defaults = {
         "file": F.col("path"),
         "node_id": node_id(),
         "source": F.lit("code"),
-        "phase": F.lit(phase),
         "position": F.lit(0).cast("bigint"),
         "def_ordinal": F.lit(0),
     }
@@ -46,7 +45,7 @@ def match_sinks(
         # A caller's table may have any size: the optimiser decides from its statistics.
         table = sink_rules if focus is None else sink_rules.filter(F.col("class").isin(focus))
     hits = calls.join(table, ["language", "name"], "inner")
-    return _finding(hits, model.PHASE_SINK, def_ordinal=F.col("def_ordinal"))
+    return _finding(hits, phase=F.lit(model.PHASE_SINK), def_ordinal=F.col("def_ordinal"))
 
 
 def _strings(elements: DataFrame) -> DataFrame:
@@ -55,39 +54,56 @@ def _strings(elements: DataFrame) -> DataFrame:
     )
 
 
+def _match_strings(elements: DataFrame, secrets: list[tuple] | None, concat: bool) -> DataFrame:
+    """Findings in string literals, all of a literal's from one look at it.
+
+    ``secrets`` None leaves the secret check out, ``concat`` False the SQL one.
+    """
+    text = F.col("name")
+    hits = _strings(elements)
+    found = []  # an array entry per check: null, or what the check says
+
+    def entry(when: Column, phase: int, cls: str, severity: Column, title: Column, description: str) -> Column:
+        return F.when(
+            when,
+            F.struct(
+                F.lit(phase).alias("phase"), F.lit(cls).alias("class"), severity.alias("severity"),
+                title.alias("title"), F.lit(description).alias("description"),
+            ),
+        )
+
+    if secrets is not None:
+        hits = hits.withColumn("priority", C.secret_priority(text, secrets))
+        priority = F.col("priority")
+        title, severity = (
+            F.element_at(F.array(*[F.lit(rule[field]) for rule in secrets]), priority) for field in (1, 2)
+        )
+        found.append(
+            entry(priority.isNotNull(), model.PHASE_SECRET, rules.SECRET_CLASS, severity, title, rules.SECRET_DESCRIPTION)
+        )
+    if concat:
+        found.append(
+            entry(
+                C.is_sql_concat(text), model.PHASE_CONCAT, rules.SQL_CLASS, F.lit("high"),
+                F.lit(rules.CONCAT_TITLE), rules.CONCAT_DESCRIPTION,
+            )
+        )
+    hits = hits.withColumn("found", F.explode(F.array_compact(F.array(*found))))
+    values = {c: F.col(f"found.{c}") for c in ("phase", "class", "severity", "title", "description")}
+    return _finding(hits, **values)
+
+
 def match_secrets(elements: DataFrame, secrets: list[tuple] | None = None) -> DataFrame:
     """String literals that a secret rule matches; the first rule wins.
 
     ``secrets``: (pattern, title, severity, needed texts), in order of priority.
     """
-    secrets = secrets or rules.SECRETS
-    hits = _strings(elements).withColumn("priority", C.secret_priority(F.col("name"), secrets))
-    hits = hits.filter(F.col("priority").isNotNull())
-
-    def pick(field: int) -> Column:
-        return F.element_at(F.array(*[F.lit(rule[field]) for rule in secrets]), F.col("priority"))
-
-    return _finding(
-        hits,
-        model.PHASE_SECRET,
-        **{"class": F.lit(rules.SECRET_CLASS)},
-        title=pick(1),
-        severity=pick(2),
-        description=F.lit(rules.SECRET_DESCRIPTION),
-    )
+    return _match_strings(elements, secrets or rules.SECRETS, concat=False)
 
 
 def match_sql_concat(elements: DataFrame) -> DataFrame:
     """String literals that look like SQL built by concatenation or formatting."""
-    hits = _strings(elements).filter(C.is_sql_concat(F.col("name")))
-    return _finding(
-        hits,
-        model.PHASE_CONCAT,
-        **{"class": F.lit(rules.SQL_CLASS)},
-        severity=F.lit("high"),
-        title=F.lit(rules.CONCAT_TITLE),
-        description=F.lit(rules.CONCAT_DESCRIPTION),
-    )
+    return _match_strings(elements, None, concat=True)
 
 
 def scan_findings(
@@ -105,10 +121,11 @@ def scan_findings(
     branches = []
     if focus is None or set(focus) - {rules.SECRET_CLASS}:
         branches.append(match_sinks(elements, sink_rules, focus))
-    if focus is None or rules.SECRET_CLASS in focus:
-        branches.append(match_secrets(elements, secrets))
-    if focus is None or rules.SQL_CLASS in focus:
-        branches.append(match_sql_concat(elements))
+    want_secrets = focus is None or rules.SECRET_CLASS in focus
+    want_concat = focus is None or rules.SQL_CLASS in focus
+    if want_secrets or want_concat:
+        secrets = (secrets or rules.SECRETS) if want_secrets else None
+        branches.append(_match_strings(elements, secrets, want_concat))
     return reduce(DataFrame.unionByName, branches)
 
 

@@ -25,6 +25,9 @@ from srcatlas.session import cut
 # Entries a task lists before it hands the directories it has not seen back.
 ENTRIES_PER_TASK = 200_000
 
+# Bytes a task reads.
+BYTES_PER_TASK = 128 << 20
+
 _LISTED = "repo string, root string, path string, size bigint, is_dir boolean"
 
 
@@ -167,7 +170,10 @@ def read_source_files(
     files = scan_inventory(listed, languages, ignore_dirs)
     if not include_content:
         return files.select("repo", "path", "language", "size")
-    spread = files.repartition(F.xxhash64("repo", "path"))
+    # By bytes to read: the paths themselves are too small to tell how many tasks there should be.
+    total = files.agg(F.sum("size")).first()[0] or 0
+    tasks = max(roots.sparkSession.sparkContext.defaultParallelism, total // BYTES_PER_TASK + 1)
+    spread = files.repartition(tasks, F.xxhash64("repo", "path"))
     return spread.select("repo", "root", "path", "language", "size").mapInArrow(
         _read, "repo string, path string, language string, size bigint, content binary"
     )

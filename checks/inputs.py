@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
+    return F.element_at(F.split(F.lit("\x01".join(values)), "\x01"), (index + 1).cast("int"))
 
 
 def text(column: str | Column) -> Column:

@@ -96,7 +96,8 @@ def _match_strings(elements: DataFrame, secrets: list[tuple] | None, concat: boo
 def match_secrets(elements: DataFrame, secrets: list[tuple] | None = None) -> DataFrame:
     """String literals that a secret rule matches; the first rule wins.
 
-    ``secrets``: (pattern, title, severity, needed texts), in order of priority.
+    ``secrets``: (pattern, title, severity, words), in order of priority; of the words, in
+    lower case, one has to occur wherever the pattern matches. No words: always tried.
     """
     return _match_strings(elements, secrets or rules.SECRETS, concat=False)
 

@@ -92,20 +92,20 @@ SINKS = [
 ]
 
 # ---- fixed values: secrets in string literals -----------------------------------
-# (pattern, title, severity, texts of which one must occur for the pattern to match).
+# (pattern, title, severity, lower-case words of which one occurs wherever the pattern matches).
 # Java regular expressions; the long s, the Kelvin sign and the explicit blank class
 # keep the case folding and the blanks of RE2. The first pattern that matches wins.
 _BLANK = r"[\t\n\f\r ]*"
 _ASSIGN = _BLANK + "[:=]" + _BLANK + r"""['\"]"""
 SECRETS = [
-    (r"(?i)(pa[s\u017F][s\u017F]word|pa[s\u017F][s\u017F]wd|pwd)" + _ASSIGN + r"""[^'\"]{4,}""", "Hardcoded password", "high", ["=", ":"]),
-    (r"(?i)(api[_-]?[k\u212A]ey|api[k\u212A]ey)" + _ASSIGN + r"""[^'\"]{8,}""", "Hardcoded API key", "high", ["=", ":"]),
-    (r"(?i)([s\u017F]ecret|to[k\u212A]en)" + _ASSIGN + r"""[^'\"]{8,}""", "Hardcoded secret/token", "high", ["=", ":"]),
-    (r"(?i)(aw[s\u017F]_acce[s\u017F][s\u017F]_[k\u212A]ey_id|aw[s\u017F]_[s\u017F]ecret_acce[s\u017F][s\u017F]_[k\u212A]ey)" + _ASSIGN + r"""[^'\"]+""", "Hardcoded AWS credential", "critical", ["=", ":"]),
-    (r"AKIA[0-9A-Z]{16}", "AWS Access Key ID", "critical", ["AKIA"]),
-    (r"(?i)-----BEGIN (R[s\u017F]A |EC |D[s\u017F]A )?PRIVATE [k\u212A]EY-----", "Private key in source", "critical", ["-----"]),
+    (r"(?i)(pa[s\u017F][s\u017F]word|pa[s\u017F][s\u017F]wd|pwd)" + _ASSIGN + r"""[^'\"]{4,}""", "Hardcoded password", "high", ["password", "passwd", "pwd"]),
+    (r"(?i)(api[_-]?[k\u212A]ey|api[k\u212A]ey)" + _ASSIGN + r"""[^'\"]{8,}""", "Hardcoded API key", "high", ["api_key", "api-key", "apikey"]),
+    (r"(?i)([s\u017F]ecret|to[k\u212A]en)" + _ASSIGN + r"""[^'\"]{8,}""", "Hardcoded secret/token", "high", ["secret", "token"]),
+    (r"(?i)(aw[s\u017F]_acce[s\u017F][s\u017F]_[k\u212A]ey_id|aw[s\u017F]_[s\u017F]ecret_acce[s\u017F][s\u017F]_[k\u212A]ey)" + _ASSIGN + r"""[^'\"]+""", "Hardcoded AWS credential", "critical", ["aws_access_key_id", "aws_secret_access_key"]),
+    (r"AKIA[0-9A-Z]{16}", "AWS Access Key ID", "critical", ["akia"]),
+    (r"(?i)-----BEGIN (R[s\u017F]A |EC |D[s\u017F]A )?PRIVATE [k\u212A]EY-----", "Private key in source", "critical", ["-----begin "]),
     (r"ghp_[0-9a-zA-Z]{36}", "GitHub personal access token", "critical", ["ghp_"]),
-    (r"(?i)(connection_[s\u017F]tring|conn_[s\u017F]tr)" + _ASSIGN + r"""[^'\"]{10,}""", "Hardcoded connection string", "high", ["=", ":"]),
+    (r"(?i)(connection_[s\u017F]tring|conn_[s\u017F]tr)" + _ASSIGN + r"""[^'\"]{10,}""", "Hardcoded connection string", "high", ["connection_string", "conn_str"]),
 ]
 SECRET_DESCRIPTION = "Hardcoded secret detected in string literal."
 

@@ -13,7 +13,7 @@ EXTENSIONS = [".py", ".js", ".ts", ".go", ".java", ".cs", ".rs", ".php"]
 CALL_NAMES = (
     "execute popen get open query exec raw fetch system loads Query Command Get Fprintf executeQuery println "
     "Start GetAsync spawn send echo include unserialize selectRaw Open innerHTML getRuntime openStream "
-    "ExecuteReader readObject output mysqli_query passthru fopen fromSub executeStatement log Execute render main"
+    "ExecuteReader readObject output mysqli_query passthru fopen fromSub executeStatement log Execute render"
 ).split()
 
 LITERALS = [
@@ -58,8 +58,11 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = (
         F.when(kind == "string", pick(LITERALS, F.col("event_id") % len(LITERALS)))
         .when(kind == "import", F.concat(F.lit("pkg.mod_"), text(F.col("user_id") % 50)))
+        .when(
+            ((kind == "function") & (F.col("user_id") % 10 == 0)) | ((kind == "call") & (F.col("event_id") % 40 == 39)),
+            F.concat(F.lit("main_"), text(F.expr("event_id div 1920"))),
+        )
         .when((kind == "call") & (F.col("user_id") % 2 == 0), pick(CALL_NAMES, F.col("event_id") % len(CALL_NAMES)))
-        .when((kind == "function") & (F.col("user_id") % 10 == 0), "main")
         .otherwise(block_name)
     )
     row = (F.col("user_id") % 200).cast("int")

@@ -32,8 +32,8 @@ el0 AS (SELECT
     (event_id % 64)::INTEGER AS ordinal, '' AS node_type,
     CASE WHEN kind = 'string' THEN {_pick(I.LITERALS, f'event_id % {len(I.LITERALS)}')}
          WHEN kind = 'import' THEN 'pkg.mod_' || (user_id % 50)
+         WHEN (kind = 'function' AND user_id % 10 = 0) OR (kind = 'call' AND event_id % 40 = 39) THEN 'main_' || (event_id // 1920)
          WHEN kind = 'call' AND user_id % 2 = 0 THEN {_pick(I.CALL_NAMES, f'event_id % {len(I.CALL_NAMES)}')}
-         WHEN kind = 'function' AND user_id % 10 = 0 THEN 'main'
          ELSE 'fn_' || (event_id // 16) END AS name,
     (user_id % 200)::INTEGER AS start_row, (event_id % 40)::INTEGER AS start_col
   FROM ev),
@@ -379,7 +379,7 @@ def statements() -> dict[str, str]:
         "entry_points": f"{_EP} SELECT * FROM ep",
         "call_graph": f"{_CG} SELECT * FROM cg",
         "nodes_of_kind": f"{_GRAPH} SELECT * FROM no WHERE kind = 'import'",
-        "functions_by_name": f"{_GRAPH} SELECT * FROM no WHERE kind = 'function' AND name = 'main'",
+        "functions_by_name": f"{_GRAPH} SELECT * FROM no WHERE kind = 'function' AND name = 'main_0'",
         "strings_containing": f"{_GRAPH} SELECT * FROM no WHERE kind = 'string' AND contains(name, '% v')",
         "graph_stats": f"{_GRAPH},{_STATS} SELECT * FROM gs",
         "repo_summary": f"""{_GRAPH},{_STATS}

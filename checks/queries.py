@@ -179,7 +179,7 @@ def parse_status(spark, sf):
 def sink_rules(spark, sf):
     """Per rule row, how many calls it matches."""
     calls = I.elements(spark, sf).filter("kind = 'call'").groupBy("language", "name").agg(F.count("*").alias("calls"))
-    return F.broadcast(rules.sink_rules(spark)).join(calls, ["language", "name"], "left").na.fill(0)
+    return rules.sink_rules(spark).join(calls, ["language", "name"], "left").na.fill(0)
 
 
 @query
@@ -341,7 +341,7 @@ def nodes_of_kind(spark, sf):
 
 @query
 def functions_by_name(spark, sf):
-    return graph.functions_by_name(nodes_and_edges(spark, sf)[0], "main")
+    return graph.functions_by_name(nodes_and_edges(spark, sf)[0], "main_0")
 
 
 @query

@@ -17,6 +17,10 @@ from srcatlas.session import cut
 
 CALL_KEY = ["repo", "language", "name"]
 
+# Above this many pairs of one name the join splits it into shares, at most so many.
+PAIRS_PER_SHARE = 10_000_000
+MOST_SHARES = 4096
+
 # Above this many edges a source node is fanned out over intermediate nodes.
 FAN_OUT = 100_000
 
@@ -91,22 +95,57 @@ def structure_edges(elements: DataFrame) -> DataFrame:
     )
 
 
-def resolved_pairs(elements: DataFrame) -> DataFrame:
+def _hot_names(elements: DataFrame, limit: int) -> DataFrame:
+    """Names with more than ``limit`` pairs, and into how many shares to split them."""
+    counts = (
+        elements.filter(F.col("kind").isin("call", "function"))
+        .groupBy(*CALL_KEY)
+        .agg(
+            F.count_if(F.col("kind") == "call").alias("calls"),
+            F.count_if(F.col("kind") == "function").alias("functions"),
+        )
+    )
+    pairs = F.col("calls").cast("double") * F.col("functions")
+    return counts.filter(pairs > limit).select(
+        *CALL_KEY,
+        F.least(F.ceil(pairs / limit), F.lit(MOST_SHARES)).cast("int").alias("shares"),
+        (F.col("calls") >= F.col("functions")).alias("split_calls"),
+    )
+
+
+def resolved_pairs(elements: DataFrame, pairs_per_share: int = PAIRS_PER_SHARE) -> DataFrame:
     """Every call with every function of its name and language in its repository.
 
     Columns ``repo``, ``language``, ``name``, then ``call`` and ``function`` structs
-    (node_id, path, start_row). The join is on one hash key; adaptive execution
-    splits a hot name on both sides.
+    (node_id, path, start_row). Few rows of a hot name can make very many pairs,
+    which no check of input sizes sees. So pairs are counted per name first; the
+    larger side of a hot name is split into shares, and its smaller side goes to
+    each of them.
     """
     side = F.struct(node_id().alias("node_id"), F.col("path"), F.col("start_row"))
     calls = elements.filter("kind = 'call'").select(*CALL_KEY, side.alias("call"))
     functions = elements.filter("kind = 'function'").select(*CALL_KEY, side.alias("function"))
-    return calls.join(functions, CALL_KEY, "inner")
+    hot = _hot_names(elements, pairs_per_share)
+    if hot.isEmpty():
+        return calls.join(functions, CALL_KEY, "inner")
+    hot = cut(hot)
+
+    def shared(rows: DataFrame, column: str, is_split: Column) -> DataFrame:
+        shares = F.coalesce(F.col("shares"), F.lit(1))
+        own = F.array(F.pmod(F.xxhash64(f"{column}.node_id"), shares.cast("bigint")).cast("int"))
+        all_of_them = F.sequence(F.lit(0), shares - 1)
+        return rows.join(hot, CALL_KEY, "left").select(
+            *CALL_KEY, column, F.explode(F.when(is_split, own).otherwise(all_of_them)).alias("share")
+        )
+
+    calls = shared(calls, "call", F.col("split_calls"))
+    functions = shared(functions, "function", ~F.col("split_calls"))
+    return calls.join(functions, [*CALL_KEY, "share"], "inner").drop("share")
 
 
-def resolve_calls(elements: DataFrame) -> DataFrame:
+def resolve_calls(elements: DataFrame, pairs_per_share: int = PAIRS_PER_SHARE) -> DataFrame:
     """``calls`` edges: repo, src (call node), dst (function node), kind."""
-    return resolved_pairs(elements).select(
+    return resolved_pairs(elements, pairs_per_share).select(
         "repo",
         F.col("call.node_id").alias("src"),
         F.col("function.node_id").alias("dst"),
@@ -208,9 +247,9 @@ def fan_out(edges: DataFrame, limit: int = FAN_OUT) -> DataFrame:
         edges.groupBy("repo", "src").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
         .select("repo", "src", F.ceil(F.col("n") / limit).cast("int").alias("ways"))
     )
-    heavy = cut(heavy)
     if heavy.isEmpty():
         return edges
+    heavy = cut(heavy)
     # Salted by target, so that the join itself has no hot key either.
     way = F.pmod(F.xxhash64("dst"), F.lit(1024)).cast("int")
     salted = heavy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(1023))))

@@ -159,3 +159,17 @@ def test_hot_name(spark):
     assert stats["edges"] == n + (n // 6) ** 2
     called = df.filter("kind = 'call'").select("name").distinct()
     assert graph.entry_points(df).count() == df.filter("kind = 'function'").join(called, "name", "left_anti").count()
+
+
+def test_hot_names_are_split(spark, elements):
+    """More calls than functions, more functions than calls, and a name that is not hot."""
+    rows = []
+    for name, calls, functions in [("a", 50, 7), ("b", 6, 40), ("c", 1, 2), ("d", 3, 0)]:
+        rows += [("r", f"f{i % 5}", "go", "call", name) for i in range(calls)]
+        rows += [("r", f"f{i % 3}", "go", "function", name) for i in range(functions)]
+    df = elements(*rows)
+    whole = graph.resolve_calls(df)
+    split = graph.resolve_calls(df, pairs_per_share=20)
+    assert whole.count() == 50 * 7 + 6 * 40 + 2
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect()))
+    assert "share" in split._jdf.queryExecution().optimizedPlan().toString()

@@ -33,7 +33,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from srcatlas.llm import bytekit
 
 #: Distinct stretches of text whose ids a worker remembers, and pairs of tokens; beyond it they are forgotten.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 #: White space as the split pattern means it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Cuts a text where no match of the usual split patterns goes on: before a blank and a visible

@@ -7,7 +7,7 @@ shingle that no document has is given up at once. Documents offer their windows
 tokens only, at the token's place in the window (positional bound) and inside the text (length
 bound); what is left is joined on token, place, size and the words themselves.
 
-Which shingles are looked for goes to the tasks as bitmaps of fixed size (``BITMAP_BITS``): a
+Which shingles are looked for goes to the tasks as bitmaps of fixed size (``sieve.BITMAP_BITS``): a
 larger benchmark makes them let more through, never less, and the join decides. So nothing that
 grows with a table is broadcast or collected. Equal windows of a task are offered once, with their
 places, so a passage that a third of all documents share is no hot key.
@@ -27,30 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.llm import bytekit
+from srcatlas.llm.sieve import bitmap, marked
 from srcatlas.session import cut
 
-#: Bits of a bitmap of hashes: 1 MB in every task, however large the benchmark.
-BITMAP_BITS = 23
 SHINGLE = 3
 #: Bytes between words: 0x00-0x2F, 0x3A-0x60 (after lower-casing) and 0x7B-0x7F.
 LETTERS = bytekit.byte_set([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 
 
-def bitmap(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of the column ``hash``; at most 2**BITMAP_BITS / 64 rows come to the driver."""
-    place = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
-    rows = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(hash, {64 - BITMAP_BITS}) & 63 as int)))").alias("bits"))
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    for word, bits in rows.collect():
-        out[word] = bits
-    return out.view(np.uint64)
-
-
-def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = hashes >> np.uint64(64 - BITMAP_BITS)
-    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _window_hashes(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(len(starts), np.uint64)
     for j in range(size):

@@ -52,6 +52,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from srcatlas.llm import embedding_dedup
+
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from srcatlas.llm import chat_format
 
@@ -68,6 +74,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_chat_format": op3_chat_format,
     "op5_language_id": op5_language_id,
     "op6_secret_scan": op6_secret_scan,

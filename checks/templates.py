@@ -32,12 +32,15 @@ function ⟦f|load_~⟧(x) { return ⟦c|helper_~⟧(x).⟦c|catch⟧(e => { thr
 const arrow = async (x) => x / 2 + fn2 / 3, re = /["'(]~/g;
 class K extends Base { ⟦f|delete⟧(a) { if (a) { this.x?.⟦c|write⟧(`t ${⟦c|inner_~⟧(a)} "q"`) } }
   static async ⟦f|run_~⟧() { for (const i of ⟦c|list⟧()) { ⟦c|fetch⟧(⟦s|"/u?q=~"⟧) } } }
+function* walk(x) { function* inner() { yield ⟦c|step_~⟧(x) } if (x) /["']/.⟦c|test⟧(⟦s|'b'⟧); ⟦c|after_~⟧(⟦s|"x"⟧) }
+class P { #hidden(a) { return ⟦c|shown⟧(a) } ⟦f|open_~⟧() { return `a ${⟦c|outer⟧(`c ${⟦c|deep_~⟧(⟦s|"{"⟧, `e`)}`)} d ${⟦c|tail⟧({a: 1})}` } }
 const o = { ⟦f|m1⟧(v) { return new Date(v) }, p: function (z) { return ⟦c|require⟧(⟦s|'fs'⟧) } }
 ''',
     "typescript": '''import type { A } from ⟦q|'./types_~'⟧
 export interface Api { get(id: string): void; load<T>(x: T): T }
 export async function ⟦f|load_~⟧(x: string): Promise<string> { return ⟦c|helper_~⟧<T>(x) }
 function overload(x: string): void;
+while (x) /[/"]~/.⟦c|exec⟧(y); ⟦c|next_~⟧(`n ${⟦c|t1⟧(`m`)}`)
 class H<T> implements Api {
   constructor_ = ⟦c|make⟧(⟦s|"k~"⟧)
   ⟦f|constructor⟧(private readonly x: number) { super(x) }
@@ -60,6 +63,9 @@ func ⟦f|load_~⟧(w io.Writer, id string) (int, error) {
 	/* skipped("x") */ rows, err := db.⟦c|Query⟧(⟦s|"SELECT ~"⟧ + id)
 	r := '"'; go func() { ⟦c|helper_~⟧(⟦s|`raw~`⟧) }()
 	if (x) { return ⟦c|len⟧(rows), nil }
+	b := []byte(⟦s|"x~"⟧); m := map[string]int(b); var _ = [4]int(m)
+	k := b[0]
+	⟦c|plain_~⟧(k, fns[0](1))
 	return nil
 }
 func (s *Srv[T]) ⟦f|Start_~⟧() error { return http.⟦c|Get⟧(⟦s|"~"⟧) }
@@ -74,6 +80,8 @@ import ⟦i|java.util⟧.*;
   @Override public int ⟦f|load_~⟧(String id) throws E { if (id == null) { return ⟦c|helper_~⟧(id); }
     stmt.⟦c|executeQuery⟧(⟦s|"SELECT ~"⟧ + id); char c = '"'; return new a.b.Thing(id).⟦c|run⟧(); }
   abstract Map<String, Integer> ⟦f|all⟧();
+  <T extends A<B>> List<T> ⟦f|typed_~⟧() { stmt.<Integer>⟦c|execute⟧(); return a.b.Collections.<Map<String, List<T>>>⟦c|emptyList⟧(); }
+  public <K> ⟦f|D_~⟧(K k) { this.<K>⟦c|keep_~⟧(k); }
   enum Color { RED(1), GREEN(2); }
 }
 ''',
@@ -107,6 +115,7 @@ function ⟦f|load_~⟧($id) { // skipped('x')
   $r = ⟦c|mysqli_query⟧($c, ⟦s|"SELECT ~"⟧ . $id); $f($id); echo(1); include(⟦s|''⟧);
 }
 class C { use T; public static function ⟦f|show_~⟧($id) { $this->raw($id); DB::raw($id); ⟦c|exec⟧(⟦s|'ls ~'⟧); return new Foo($id); } }
+⟦c|trim⟧(⟦s|"plain { brace ~ {$b} "⟧ . ⟦s|"{$c->d}"⟧);
 # more('y')
 ?> tail text("z") <?= ⟦c|h⟧(⟦s|'e'⟧) ?>
 ''',

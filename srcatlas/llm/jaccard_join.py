@@ -14,8 +14,9 @@ groups than T + 1 by ``spare``; a document with more empty groups than that is d
 another hash, and after ``DEALS`` of these by its empty groups, too, so no pair is lost.
 
 First every block offers the pairs of its smallest document with the others only. Where verified
-links make a block one component nothing is left to find. The others are searched by R-tree for
-pairs across components, in pieces of ``PIECE`` documents against one another. So groups of copies
+links make a block one component nothing is left to find. In the others a few rounds test a random
+document of the block against those of other components, and what then is still open is searched by
+R-tree for pairs across components, in pieces of ``PIECE`` documents against one another. So groups of copies
 cost one pair per copy, and no block is gathered in one task: entries of a block that meet in a
 task go on as one.
 
@@ -40,7 +41,9 @@ U64 = np.uint64
 LETTERS = bytekit.byte_set([(0x20, 0x20), (0x09, 0x0D)])
 DEALS = 4
 #: Groups of the count vectors, and documents of a block that are compared at once.
-GROUPS, PIECE = 128, 256
+GROUPS, PIECE = 64, 256
+#: Rounds with a random document of each open block before its tree is built; they only save work.
+ROUNDS = 3
 #: Members that one copy of a centre's text is verified against.
 FAN = 64
 
@@ -128,7 +131,7 @@ def block_keys(flat: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.nd
 def count_vectors(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     own = np.repeat(np.arange(len(sizes)), sizes)
     group = (bytekit.mix(flat + U64(99)) >> U64(40)).astype(np.int64) % GROUPS
-    return np.bincount(own * GROUPS + group, minlength=len(sizes) * GROUPS).reshape(len(sizes), GROUPS).astype(np.uint32)
+    return np.bincount(own * GROUPS + group, minlength=len(sizes) * GROUPS).reshape(len(sizes), GROUPS).clip(max=65535).astype(np.uint16)
 
 
 class RTree:
@@ -157,7 +160,7 @@ class RTree:
             for a in range(0, len(asked), 1 << 14):
                 q, n = asked[a:a + (1 << 14)], node[a:a + (1 << 14)]
                 least = np.maximum(low[n], -(-percent * sizes[q] // 100))
-                fit[a:a + (1 << 14)] = np.minimum(points[q], high[n]).sum(axis=1) >= need(sizes[q], least, percent)
+                fit[a:a + (1 << 14)] = np.minimum(points[q], high[n]).sum(axis=1, dtype=np.int64) >= need(sizes[q], least, percent)
                 if depth == 0:
                     fit[a:a + (1 << 14)] &= low[n] * 100 <= sizes[q] * 100 * 100 // percent
             asked, node = asked[fit], node[fit]
@@ -282,7 +285,7 @@ def block_members(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFr
                 keys, owners = block_keys(flat, sizes, percent)
                 held.append((keys, ids[at][owners], labels[at][owners]))
                 n += len(keys)
-                if n >= 1_000_000:
+                if n >= 300_000:
                     yield from out_of(flush())
                     held, n = [], 0
         if held:
@@ -327,7 +330,7 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
         for group in sieve.grouped(batches, 3):
             left, right = (group.column(i).to_numpy() for i in (3, 4))
             ids, labels, sizes = (group.column(i).to_numpy() for i in (5, 6, 7))
-            points = np.frombuffer(b"".join(group.column(8).to_pylist()), np.uint32).reshape(-1, GROUPS)
+            points = np.frombuffer(b"".join(group.column(8).to_pylist()), np.uint16).reshape(-1, GROUPS)
             l, r = np.flatnonzero(left), np.flatnonzero(right)
             if not len(l) or not len(r):
                 continue
@@ -341,6 +344,17 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
+def _label(labels: DataFrame, side: str) -> DataFrame:
+    return labels.select(F.col(labels.columns[0]).alias(side), F.col("component").alias(f"c{side}"))
+
+
+def _united(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (doc_id, component) after more links: components are united, not documents."""
+    between = links.select("a", "b").join(_label(labels, "a"), "a").join(_label(labels, "b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = components(between).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    return labels.join(joined, "component", "left").select("doc_id", F.coalesce("top", "component").alias("component"))
+
+
 def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every row (the smallest doc_id reachable by links)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -358,22 +372,29 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     tested = cut(verified(told.where("not copy").select("a", "b"), known, k, percent))
     links = told.where("copy").select("a", "b").unionByName(tested.where("linked").select("a", "b"))
     found = cut(components(links))
-    label = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
     apart = (
-        tested.where("not linked").join(label("a"), "a", "left").join(label("b"), "b", "left")
+        tested.where("not linked").join(_label(found, "a"), "a", "left").join(_label(found, "b"), "b", "left")
         .where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     )
     if not apart.isEmpty():
         met = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        labelled = met.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-        again = sieve.sift(known, "doc_id", met).join(labelled, "doc_id")
+        labels = cut(met.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")))
+        again = sieve.sift(known, "doc_id", met).join(labels, "doc_id")
         members = cut(block_members(again, k, percent, buckets).distinct())
+        for turn in range(ROUNDS):
+            centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "component")).alias("c"))
+            star = members.join(centre, "key").where("component <> c.component").select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
+            now = cut(verified(star.join(tested.select("a", "b"), ["a", "b"], "left_anti"), known, k, percent))
+            tested = tested.unionByName(now)
+            labels = cut(_united(labels, now.where("linked")))
+            fresh = members.drop("component").join(labels, "doc_id")
+            still = fresh.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+            members = cut(fresh.join(still, "key", "left_semi").select("key", "doc_id", "component"))
         wanted = members.select("doc_id").distinct()
         points = cut(vectors(sieve.sift(known, "doc_id", wanted).join(wanted, "doc_id", "left_semi"), k))
         more = cut(tree_pairs(members, points, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        extra = cut(verified(more, known, k, percent).where("linked").select("a", "b"))
-        links = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(extra)
-        found = components(links)
+        labels = _united(labels, verified(more, known, k, percent).where("linked"))
+        found = labels.withColumnRenamed("doc_id", "id")
     return own.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

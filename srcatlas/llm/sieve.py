@@ -49,7 +49,7 @@ class Packer:
     come back as pairs with it. So a frequent key is one entry of each flush.
     """
 
-    def __init__(self, buckets: int, most: int = 2_000_000):
+    def __init__(self, buckets: int, most: int = 400_000):
         self.buckets, self.most = buckets, most
         self.keys: list[np.ndarray] = []
         self.ids: list[np.ndarray] = []

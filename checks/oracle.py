@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from checks import inputs as I
 from checks import templates
-from checks.queries import ROWS_PER_PART
 from srcatlas import rules
 
 
@@ -198,16 +197,6 @@ tx AS (SELECT repo, path, t.language, kind, ordinal, replace(mark, '~', key) AS
   FROM te t JOIN tf ON t.language = tf.language)"""
 
 
-def _report() -> str:
-    """Documents out of ``pieces``: repo, repo_findings, section, seq, text."""
-    n, per = ROWS_PER_PART, f"(repo_findings // {ROWS_PER_PART} + 1)"
-    return f"""
-parts AS (SELECT repo, CASE WHEN repo_findings <= {n} THEN 0
-      WHEN section = 0 THEN 0 WHEN section = 1 THEN 1 + seq // {n} WHEN section = 2 THEN 1 + {per} + seq // {n}
-      ELSE 1 + 2 * {per} END::BIGINT AS part, section, seq, text FROM pieces)
-SELECT repo, part, string_agg(text, '' ORDER BY section, seq) AS text FROM parts GROUP BY repo, part"""
-
-
 _RULE_JSON = f"""to_json({{'id': class, 'name': class, 'shortDescription': {{'text': title}},
     'defaultConfiguration': {{'level': {_LEVEL.format('severity')}}}}})::VARCHAR"""
 _RESULT_JSON = f"""to_json({{'ruleId': class, 'level': {_LEVEL.format('severity')}, 'message': {{'text': title || ': ' || description}},
@@ -232,46 +221,55 @@ _SARIF_HEAD = (
 )
 _NL = "chr(10)"
 _ESCAPED = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
-_SEVERITY_ROWS = f"sv AS (SELECT repo, severity, 4 - {_RANK} AS place, count(*) AS c, max(repo_findings) AS repo_findings FROM nu GROUP BY repo, severity)"
+_SEVERITY_ROWS = f"sv AS (SELECT repo, severity, 4 - {_RANK} AS place, count(*) AS c FROM nu GROUP BY repo, severity)"
+_PIECES = "SELECT repo, section, seq::BIGINT AS seq, text FROM pieces"
 
 SARIF = f"""{_NUMBERED},{_RULES},{_totals("SELECT DISTINCT repo FROM (SELECT repo FROM el UNION ALL SELECT 'empty' || n_nationkey FROM nation)")},
 pieces AS (
-  SELECT repo, repo_findings, 0 AS section, 0 AS seq, {_q(_SARIF_HEAD)} AS text FROM tot
-  UNION ALL SELECT repo, repo_findings, 1, seq, CASE WHEN seq > 1 THEN ',' ELSE '' END || rule FROM ru
-  UNION ALL SELECT repo, repo_findings, 2, 0, ']}}}},"results":[' FROM tot
-  UNION ALL SELECT repo, repo_findings, 2, seq, CASE WHEN seq > 1 THEN ',' ELSE '' END || {_RESULT_JSON} FROM nu
-  UNION ALL SELECT repo, repo_findings, 3, 0, ']}}]}}' || {_NL} FROM tot),{_report()}"""
+  SELECT repo, 0 AS section, 0 AS seq, {_q(_SARIF_HEAD)} AS text FROM tot
+  UNION ALL SELECT repo, 1, seq, CASE WHEN seq > 1 THEN ',' ELSE '' END || rule FROM ru
+  UNION ALL SELECT repo, 2, 0, ']}}}},"results":[' FROM tot
+  UNION ALL SELECT repo, 2, seq, CASE WHEN seq > 1 THEN ',' ELSE '' END || {_RESULT_JSON} FROM nu
+  UNION ALL SELECT repo, 3, 0, ']}}]}}' FROM tot)
+{_PIECES}"""
 
 JSON = f"""{_NUMBERED},{_totals(_SOME_REPOS)},
 pieces AS (
-  SELECT repo, repo_findings, 0 AS section, 0 AS seq, CASE WHEN repo_findings = 0 THEN 'null' ELSE '[' END AS text FROM tot
-  UNION ALL SELECT repo, repo_findings, 2, seq, CASE WHEN seq > 1 THEN ',' ELSE '' END || {_NL} || to_json({{'ID': finding_id, 'Class': class,
+  SELECT repo, 0 AS section, 0 AS seq, CASE WHEN repo_findings = 0 THEN 'null' ELSE '[' END AS text FROM tot
+  UNION ALL SELECT repo, 2, seq, CASE WHEN seq > 1 THEN ',' ELSE '' END || to_json({{'ID': finding_id, 'Class': class,
     'Severity': severity, 'Title': title, 'Description': description, 'File': file, 'StartRow': start_row, 'StartCol': start_col,
     'EndRow': end_row, 'EndCol': end_col, 'Language': language, 'NodeID': node_id}})::VARCHAR FROM nu
-  UNION ALL SELECT repo, repo_findings, 3, 0, CASE WHEN repo_findings = 0 THEN {_NL} ELSE {_NL} || ']' || {_NL} END FROM tot),{_report()}"""
+  UNION ALL SELECT repo, 3, 0, ']' FROM tot WHERE repo_findings > 0)
+{_PIECES}"""
 
 MARKDOWN = f"""{_NUMBERED},{_SEVERITY_ROWS},{_totals(_SOME_REPOS)},
 pieces AS (
-  SELECT repo, repo_findings, 0 AS section, 0 AS seq, '# Code Security Report' || {_NL} || {_NL} || CASE WHEN repo_findings = 0
-    THEN 'No vulnerabilities found.' || {_NL} ELSE '## Summary' || {_NL} || {_NL} || '| Severity | Count |' || {_NL} || '|---|---|' || {_NL} END AS text FROM tot
-  UNION ALL SELECT repo, repo_findings, 1, place, '| ' || severity || ' | ' || c || ' |' || {_NL} FROM sv
-  UNION ALL SELECT repo, repo_findings, 2, 0, {_NL} || '## Findings' || {_NL} || {_NL} FROM tot WHERE repo_findings > 0
-  UNION ALL SELECT repo, repo_findings, 2, seq, '### ' || finding_id || ' [' || severity || '] ' || title || {_NL} || {_NL}
-    || '- **File:** `' || file || ':' || (start_row + 1) || ':' || (start_col + 1) || '`' || {_NL}
-    || '- **Class:** ' || class || {_NL} || '- **Language:** ' || language || {_NL} || '- **Description:** ' || description || {_NL} || {_NL} FROM nu
-  ),{_report()}"""
-
+  SELECT repo, 0 AS section, 0 AS seq, '# Findings of this scan' || {_NL} || {_NL} || CASE WHEN repo_findings = 0
+    THEN 'No vulnerabilities found.' ELSE repo_findings || ' in all, by severity:' || {_NL} || {_NL} || '| Severity | Count |' || {_NL} || '|---|---|' END AS text FROM tot
+  UNION ALL SELECT repo, 1, place, '| ' || severity || ' | ' || c || ' |' FROM sv
+  UNION ALL SELECT repo, 2, 0, {_NL} || '## One by one' || {_NL} FROM tot WHERE repo_findings > 0
+  UNION ALL SELECT repo, 2, seq, '1. **' || finding_id || '** (' || severity || ', ' || class || ') ' || title || {_NL}
+    || '   at `' || file || ':' || (start_row + 1) || ':' || (start_col + 1) || '`, language: ' || language || {_NL} || {_NL}
+    || '   ' || description || {_NL} FROM nu)
+{_PIECES}"""
+
+_HTML_HEAD = """<!DOCTYPE html>
+<html lang="en">
+<meta charset="utf-8"><title>Findings</title>
+<style>article{border-left:.3rem solid #888;margin:1rem 0;padding-left:1rem}table{border-collapse:collapse}td{padding:.2rem 1rem}</style>
+<body><main>
+<h1>"""
 HTML = f"""{_NUMBERED},{_SEVERITY_ROWS},{_totals("SELECT DISTINCT repo FROM nu")},
 pieces AS (
-  SELECT repo, repo_findings, 0 AS section, 0 AS seq, '<p class="meta">' || repo_findings || ' findings</p>' || {_NL} || '<div class="summary">' || {_NL} AS text FROM tot
-  UNION ALL SELECT repo, repo_findings, 1, place, '<div class="stat"><div class="stat-num">' || c || '</div><div class="stat-label">' || severity || '</div></div>' || {_NL} FROM sv
-  UNION ALL SELECT repo, repo_findings, 2, 0, '</div>' || {_NL} FROM tot
-  UNION ALL SELECT repo, repo_findings, 2, seq, '<div class="finding"><div class="finding-header"><span class="finding-id">' || finding_id
-    || '</span><span class="sev sev-' || severity || '">' || severity || '</span></div><div class="finding-title">' || {_ESCAPED.format('title')}
-    || '</div><div class="finding-loc">' || {_ESCAPED.format('file')} || ':' || (start_row + 1) || ':' || (start_col + 1)
-    || ' <span class="tag">' || language || '</span> <span class="tag">' || class || '</span></div><div class="finding-desc">'
-    || {_ESCAPED.format('description')} || '</div></div>' || {_NL} FROM nu
-  UNION ALL SELECT repo, repo_findings, 3, 0, '</body></html>' || {_NL} FROM tot),{_report()}"""
+  SELECT repo, 0 AS section, 0 AS seq, {_q(_HTML_HEAD)} || repo_findings || ' findings</h1>' || {_NL} || '<table>' AS text FROM tot
+  UNION ALL SELECT repo, 1, place, '<tr><td>' || severity || '</td><td>' || c || '</td></tr>' FROM sv
+  UNION ALL SELECT repo, 2, 0, '</table>' FROM tot
+  UNION ALL SELECT repo, 2, seq, '<article data-severity="' || severity || '"><h3>' || finding_id || ' ' || {_ESCAPED.format('title')}
+    || '</h3><dl><dt>at</dt><dd><code>' || {_ESCAPED.format('file')} || ':' || (start_row + 1) || ':' || (start_col + 1)
+    || '</code></dd><dt>class</dt><dd>' || class || '</dd><dt>severity</dt><dd>' || severity || '</dd><dt>language</dt><dd>' || language
+    || '</dd></dl><p>' || {_ESCAPED.format('description')} || '</p></article>' FROM nu
+  UNION ALL SELECT repo, 3, 0, '</main></body></html>' FROM tot)
+{_PIECES}"""
 
 _GRAPH = f"WITH {ELEMENTS},{FILES},{NODES},{EDGES}"
 _REACH = _GRAPH.replace("WITH", "WITH RECURSIVE", 1) + """,

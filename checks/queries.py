@@ -20,9 +20,6 @@ from srcatlas.sources import scanner_reports, trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-# Findings in a part of the registered report documents, small enough to split some.
-ROWS_PER_PART = 100
-
 
 def query(function):
     QUERIES[function.__name__] = function
@@ -391,28 +388,26 @@ def sarif_rules(spark, sf):
 @query
 def write_sarif(spark, sf):
     repos = I.files(spark, sf).select("repo").unionByName(I.table(spark, sf, "nation").select(F.concat(F.lit("empty"), I.text("n_nationkey")).alias("repo")))
-    return sarif.sarif_documents(numbered(spark, sf), repos, version="1.0", rows_per_part=ROWS_PER_PART)
+    return sarif.sarif_documents(numbered(spark, sf), repos, version="1.0")
 
 
 @query
 def write_findings_json(spark, sf):
     repos = I.table(spark, sf, "nation").select(F.concat(F.lit("r"), I.text("n_nationkey")).alias("repo"))
     repos = repos.unionByName(I.files(spark, sf).select("repo"))
-    return findings_json.json_documents(numbered(spark, sf), repos, ROWS_PER_PART)
+    return findings_json.json_documents(numbered(spark, sf), repos)
 
 
 @query
 def write_markdown(spark, sf):
     repos = I.table(spark, sf, "nation").select(F.concat(F.lit("r"), I.text("n_nationkey")).alias("repo"))
     repos = repos.unionByName(I.files(spark, sf).select("repo"))
-    return markdown.markdown_documents(numbered(spark, sf), repos, ROWS_PER_PART)
+    return markdown.markdown_documents(numbered(spark, sf), repos)
 
 
 @query
 def write_html(spark, sf):
-    """The blocks between head and foot."""
-    docs = html.html_documents(numbered(spark, sf), None, ROWS_PER_PART)
-    return docs.withColumn("text", F.replace("text", F.lit(html.HEAD), F.lit("")))
+    return html.html_documents(numbered(spark, sf))
 
 
 @query

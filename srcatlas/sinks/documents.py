@@ -1,8 +1,9 @@
 """Report documents made of pieces, so that no task has to hold a whole one.
 
-A sink turns numbered findings into pieces: repo, section, seq, text. In order of
-(section, seq) the texts of a repository are its document. Sections are the head
-(0), the rules (1), the findings (2) and the foot (3).
+A sink turns numbered findings into pieces: repo, section, seq, text. A piece is one or more
+whole lines, without the last line feed. In order of (section, seq) the pieces of a repository,
+a line feed behind each, are its document, whatever its size. Sections are the head (0), the
+rules (1), the findings (2) and the foot (3).
 """
 
 from __future__ import annotations
@@ -14,9 +15,6 @@ from pyspark.sql import functions as F
 
 HEAD, RULES, FINDINGS, FOOT = range(4)
 
-# Findings in a part of a document.
-ROWS_PER_PART = 20_000
-
 
 def with_totals(numbered: DataFrame, repos: DataFrame | None) -> DataFrame:
     """repo, repo_findings: every repository once, with its number of findings.
@@ -32,47 +30,19 @@ def with_totals(numbered: DataFrame, repos: DataFrame | None) -> DataFrame:
 
 
 def pieces(rows: DataFrame, section: int, seq: Column, text: Column) -> DataFrame:
-    """``rows`` must carry repo and repo_findings."""
-    return rows.select(
-        "repo", "repo_findings", F.lit(section).alias("section"),
-        seq.cast("bigint").alias("seq"), text.alias("text"),
-    )
+    return rows.select("repo", F.lit(section).alias("section"), seq.cast("bigint").alias("seq"), text.alias("text"))
 
 
-def join_pieces(*parts: DataFrame) -> DataFrame:
+def documents(*parts: DataFrame) -> DataFrame:
+    """repo, section, seq, text."""
     return reduce(DataFrame.unionByName, parts)
 
 
-def documents(all_pieces: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
-    """repo, part, text: a document is one row, or a large one several parts.
-
-    A repository with up to ``rows_per_part`` findings has the single part 0. A
-    larger one is cut after every that many findings, so no group that is put
-    together has more rows than that; its texts in order of ``part`` are the document.
-    """
-    size = F.lit(rows_per_part).cast("bigint")
-    slots = F.col("repo_findings").cast("bigint") / size
-    per_section = F.floor(slots) + 1  # parts of a section, at most
-    part = F.when(F.col("repo_findings") <= size, F.lit(0).cast("bigint")).otherwise(
-        F.when(F.col("section") == HEAD, F.lit(0).cast("bigint"))
-        .when(F.col("section") == RULES, 1 + F.floor(F.col("seq") / size))
-        .when(F.col("section") == FINDINGS, 1 + per_section + F.floor(F.col("seq") / size))
-        .otherwise(1 + 2 * per_section)
-    )
-    entry = F.struct("section", "seq", "text")
-    return (
-        all_pieces.groupBy("repo", part.alias("part"))
-        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-        .select("repo", "part", F.array_join(F.col("entries.text"), "").alias("text"))
-    )
-
-
 def write_documents(docs: DataFrame, path: str, mode: str = "error") -> None:
     """One folder ``repo=...`` per repository with text files; in order of name they are the document."""
     (
-        docs.withColumn("text", F.regexp_replace("text", r"\n\z", ""))
-        .repartitionByRange("repo", "part")
-        .sortWithinPartitions("repo", "part")
+        docs.repartitionByRange("repo", "section", "seq")
+        .sortWithinPartitions("repo", "section", "seq")
         .select("repo", "text")
         .write.mode(mode).partitionBy("repo").text(path)
     )

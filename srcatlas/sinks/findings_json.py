@@ -19,19 +19,15 @@ def finding_object() -> Column:
     return F.struct(*[F.col(column).alias(key) for key, column in KEYS.items()])
 
 
-def json_documents(numbered: DataFrame, repos: DataFrame | None = None, rows_per_part: int = D.ROWS_PER_PART) -> DataFrame:
-    """repo, part, text: an array of findings, ``null`` where there are none."""
+def json_documents(numbered: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """repo, section, seq, text: an array of findings, ``null`` where there are none."""
     totals = D.with_totals(numbered, repos)
-    none = F.col("repo_findings") == 0
     zero = F.lit(0)
-    item = F.concat(F.when(F.col("seq") > 1, ",\n").otherwise("\n"), F.to_json(finding_object()))
+    comma = F.when(F.col("seq") > 1, ",").otherwise("")
     return D.documents(
-        D.join_pieces(
-            D.pieces(totals, D.HEAD, zero, F.when(none, "null").otherwise("[")),
-            D.pieces(numbered, D.FINDINGS, F.col("seq"), item),
-            D.pieces(totals, D.FOOT, zero, F.when(none, "\n").otherwise("\n]\n")),
-        ),
-        rows_per_part,
+        D.pieces(totals, D.HEAD, zero, F.when(F.col("repo_findings") == 0, "null").otherwise("[")),
+        D.pieces(numbered, D.FINDINGS, F.col("seq"), F.concat(comma, F.to_json(finding_object()))),
+        D.pieces(totals.filter("repo_findings > 0"), D.FOOT, zero, F.lit("]")),
     )
 
 

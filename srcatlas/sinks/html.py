@@ -2,58 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions import columns as C
+from srcatlas.operators.summary import severity_summary
 from srcatlas.sinks import documents as D
-from srcatlas.sinks.markdown import severity_rows
+from srcatlas.sinks.markdown import NOTHING
 
 HEAD = """<!DOCTYPE html>
 <html lang="en">
-<head><meta charset="utf-8"><title>Code Security Report</title>
-<style>body{font-family:monospace;max-width:60rem;margin:2rem auto}.finding,.stat{border:1px solid #ccc;padding:.5rem;margin:.5rem 0}.summary{display:flex;gap:1rem}</style>
-</head>
-<body>
-<h1>Code Security Report</h1>
-"""
-
-
-def html_finding():
-    """One finding as a block; titles, files and descriptions are escaped."""
-    language = F.when(F.col("language") != "", F.concat(F.lit(' <span class="tag">'), "language", F.lit("</span>"))).otherwise("")
-    description = F.when(
-        F.col("description") != "",
-        F.concat(F.lit('<div class="finding-desc">'), C.html_escape(F.col("description")), F.lit("</div>")),
-    ).otherwise("")
+<meta charset="utf-8"><title>Findings</title>
+<style>article{border-left:.3rem solid #888;margin:1rem 0;padding-left:1rem}table{border-collapse:collapse}td{padding:.2rem 1rem}</style>
+<body><main>"""
+
+
+def html_finding() -> Column:
+    """One finding as an article; titles, files and descriptions are escaped."""
+    place = F.concat(C.html_escape(F.col("file")), F.format_string(":%d:%d", F.col("start_row") + 1, F.col("start_col") + 1))
     return F.concat(
-        F.lit('<div class="finding"><div class="finding-header"><span class="finding-id">'), "finding_id",
-        F.lit('</span><span class="sev sev-'), "severity", F.lit('">'), "severity", F.lit("</span></div>"),
-        F.lit('<div class="finding-title">'), C.html_escape(F.col("title")), F.lit("</div>"),
-        F.lit('<div class="finding-loc">'), C.html_escape(F.col("file")),
-        F.format_string(":%d:%d", F.col("start_row") + 1, F.col("start_col") + 1),
-        language, F.lit(' <span class="tag">'), "class", F.lit("</span></div>"), description, F.lit("</div>\n"),
+        F.lit('<article data-severity="'), "severity", F.lit('"><h3>'), "finding_id", F.lit(" "), C.html_escape(F.col("title")),
+        F.lit("</h3><dl><dt>at</dt><dd><code>"), place, F.lit("</code></dd><dt>class</dt><dd>"), "class",
+        F.lit("</dd><dt>severity</dt><dd>"), "severity", F.lit("</dd><dt>language</dt><dd>"), "language", F.lit("</dd></dl><p>"),
+        C.html_escape(F.col("description")), F.lit("</p></article>"),
     )
 
 
-def html_documents(numbered: DataFrame, repos: DataFrame | None = None, rows_per_part: int = D.ROWS_PER_PART) -> DataFrame:
-    """repo, part, text: the number of findings, a tile per severity, a block per finding."""
+def html_documents(numbered: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """repo, section, seq, text: the number of findings, a table of severities, an article per finding."""
     totals = D.with_totals(numbered, repos)
-    some = totals.filter("repo_findings > 0")
-    count = F.format_string('<p class="meta">%d findings</p>\n', "repo_findings")
-    rest = F.when(F.col("repo_findings") == 0, '<p class="empty">No vulnerabilities found.</p>\n').otherwise('<div class="summary">\n')
-    tile = F.format_string(
-        '<div class="stat"><div class="stat-num">%d</div><div class="stat-label">%s</div></div>\n', "findings", "severity"
-    )
+    count = F.format_string("\n<h1>%d findings</h1>\n", "repo_findings")
+    rest = F.when(F.col("repo_findings") == 0, f"<p>{NOTHING}</p>").otherwise("<table>")
+    row = F.format_string("<tr><td>%s</td><td>%d</td></tr>", "severity", "findings")
     return D.documents(
-        D.join_pieces(
-            D.pieces(totals, D.HEAD, F.lit(0), F.concat(F.lit(HEAD), count, rest)),
-            D.pieces(severity_rows(numbered), D.RULES, 4 - F.col("rank"), tile),
-            D.pieces(some, D.FINDINGS, F.lit(0), F.lit("</div>\n")),
-            D.pieces(numbered, D.FINDINGS, F.col("seq"), html_finding()),
-            D.pieces(totals, D.FOOT, F.lit(0), F.lit("</body></html>\n")),
-        ),
-        rows_per_part,
+        D.pieces(totals, D.HEAD, F.lit(0), F.concat(F.lit(HEAD), count, rest)),
+        D.pieces(severity_summary(numbered), D.RULES, 4 - F.col("rank"), row),
+        D.pieces(totals.filter("repo_findings > 0"), D.FINDINGS, F.lit(0), F.lit("</table>")),
+        D.pieces(numbered, D.FINDINGS, F.col("seq"), html_finding()),
+        D.pieces(totals, D.FOOT, F.lit(0), F.lit("</main></body></html>")),
     )
 
 

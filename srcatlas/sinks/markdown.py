@@ -8,35 +8,28 @@ from pyspark.sql import functions as F
 from srcatlas.operators.summary import severity_summary
 from srcatlas.sinks import documents as D
 
-TITLE = "# Code Security Report\n\n"
-NOTHING = "No vulnerabilities found.\n"
+# Rows of the severity table, the place of a finding and the note on an empty report.
+SEVERITY_ROW = "| %s | %d |"
+PLACE = "`%s:%d:%d`"
+NOTHING = "No vulnerabilities found."
 
+TITLE = "# Findings of this scan\n"
 
-def severity_rows(numbered: DataFrame) -> DataFrame:
-    """repo, severity, rank, findings, repo_findings; most severe is highest rank."""
-    totals = D.with_totals(numbered, None)
-    return severity_summary(numbered).join(totals, "repo")
 
-
-def markdown_documents(numbered: DataFrame, repos: DataFrame | None = None, rows_per_part: int = D.ROWS_PER_PART) -> DataFrame:
-    """repo, part, text: counts per severity, then one paragraph per finding."""
+def markdown_documents(numbered: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """repo, section, seq, text: counts per severity, then one list entry per finding."""
     totals = D.with_totals(numbered, repos)
-    head = F.when(F.col("repo_findings") == 0, TITLE + NOTHING).otherwise(
-        TITLE + "## Summary\n\n| Severity | Count |\n|---|---|\n"
-    )
+    head = F.when(F.col("repo_findings") == 0, f"{TITLE}\n{NOTHING}").otherwise(F.concat(
+        F.format_string(f"{TITLE}\n%d in all, by severity:\n\n", "repo_findings"), F.lit("| Severity | Count |\n|---|---|")))
     finding = F.format_string(
-        "### %s [%s] %s\n\n- **File:** `%s:%d:%d`\n- **Class:** %s\n- **Language:** %s\n- **Description:** %s\n\n",
-        "finding_id", "severity", "title", "file", F.col("start_row") + 1, F.col("start_col") + 1,
-        "class", "language", "description",
+        f"1. **%s** (%s, %s) %s\n   at {PLACE}, language: %s\n\n   %s\n",
+        "finding_id", "severity", "class", "title", "file", F.col("start_row") + 1, F.col("start_col") + 1, "language", "description",
     )
     return D.documents(
-        D.join_pieces(
-            D.pieces(totals, D.HEAD, F.lit(0), head),
-            D.pieces(severity_rows(numbered), D.RULES, 4 - F.col("rank"), F.format_string("| %s | %d |\n", "severity", "findings")),
-            D.pieces(totals.filter("repo_findings > 0"), D.FINDINGS, F.lit(0), F.lit("\n## Findings\n\n")),
-            D.pieces(numbered, D.FINDINGS, F.col("seq"), finding),
-        ),
-        rows_per_part,
+        D.pieces(totals, D.HEAD, F.lit(0), head),
+        D.pieces(severity_summary(numbered), D.RULES, 4 - F.col("rank"), F.format_string(SEVERITY_ROW, "severity", "findings")),
+        D.pieces(totals.filter("repo_findings > 0"), D.FINDINGS, F.lit(0), F.lit("\n## One by one\n")),
+        D.pieces(numbered, D.FINDINGS, F.col("seq"), finding),
     )
 
 

@@ -57,9 +57,8 @@ def sarif_documents(
     tool: str = "srcatlas",
     version: str = __version__,
     information_uri: str = "",
-    rows_per_part: int = D.ROWS_PER_PART,
 ) -> DataFrame:
-    """repo, part, text: the SARIF document of each repository."""
+    """repo, section, seq, text: the SARIF document of each repository."""
     head = (
         f'{{"$schema":{json.dumps(SCHEMA_URI)},"version":"{SARIF_VERSION}","runs":[{{"tool":{{"driver":{{'
         f'"name":{json.dumps(tool)},"version":{json.dumps(version)},'
@@ -70,14 +69,11 @@ def sarif_documents(
     totals = D.with_totals(numbered, repos)
     zero = F.lit(0)
     return D.documents(
-        D.join_pieces(
-            D.pieces(totals, D.HEAD, zero, F.lit(head)),
-            D.pieces(sarif_rules(numbered), D.RULES, F.col("seq"), F.concat(comma, F.to_json("rule"))),
-            D.pieces(totals, D.FINDINGS, zero, F.lit(']}},"results":[')),
-            D.pieces(sarif_results(numbered), D.FINDINGS, F.col("seq"), F.concat(comma, F.to_json("result"))),
-            D.pieces(totals, D.FOOT, zero, F.lit("]}]}\n")),
-        ),
-        rows_per_part,
+        D.pieces(totals, D.HEAD, zero, F.lit(head)),
+        D.pieces(sarif_rules(numbered), D.RULES, F.col("seq"), F.concat(comma, F.to_json("rule"))),
+        D.pieces(totals, D.FINDINGS, zero, F.lit(']}},"results":[')),
+        D.pieces(sarif_results(numbered), D.FINDINGS, F.col("seq"), F.concat(comma, F.to_json("result"))),
+        D.pieces(totals, D.FOOT, zero, F.lit("]}]}")),
     )
 
 

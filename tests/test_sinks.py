@@ -5,7 +5,7 @@ import pytest
 
 from srcatlas import model
 from srcatlas.operators import numbering
-from srcatlas.sinks import findings_json, html, markdown, sarif
+from srcatlas.sinks import findings_json, html, markdown, reports, sarif
 
 COLUMNS = "repo class severity title description file start_row start_col end_row end_col language".split()
 SAMPLE = [
@@ -32,15 +32,13 @@ def repos(spark):
 
 
 def text_of(docs, repo):
-    rows = docs.filter(docs["repo"] == repo).orderBy("part").collect()
-    return "".join(r["text"] for r in rows), len(rows)
+    rows = docs.filter(docs["repo"] == repo).orderBy("section", "seq").collect()
+    return "".join(r["text"] + "\n" for r in rows)
 
 
-@pytest.mark.parametrize("rows_per_part,parts", [(100, 1), (3, 6), (1, 10)])
-def test_sarif(numbered, repos, rows_per_part, parts):
-    docs = sarif.sarif_documents(numbered, repos, rows_per_part=rows_per_part)
-    text, count = text_of(docs, "r")
-    doc = json.loads(text)
+def test_sarif(numbered, repos):
+    docs = sarif.sarif_documents(numbered, repos)
+    doc = json.loads(text_of(docs, "r"))
     assert doc["version"] == "2.1.0" and doc["$schema"].endswith("sarif-schema-2.1.0.json") and len(doc["runs"]) == 1
     run = doc["runs"][0]
     assert [r["ruleId"] for r in run["results"]] == ["sql-injection", "command-injection", "hardcoded-secret", "sql-injection"]
@@ -57,42 +55,39 @@ def test_sarif(numbered, repos, rows_per_part, parts):
         "defaultConfiguration": {"level": "error"},
     }
     assert run["results"][3]["level"] == "note"
-    assert count <= parts
-    empty = json.loads(text_of(docs, "empty")[0])["runs"][0]
+    empty = json.loads(text_of(docs, "empty"))["runs"][0]
     assert empty["results"] == [] and empty["tool"]["driver"]["rules"] == []
 
 
-@pytest.mark.parametrize("rows_per_part", [100, 1])
-def test_json(numbered, repos, rows_per_part):
-    docs = findings_json.json_documents(numbered, repos, rows_per_part)
-    found = json.loads(text_of(docs, "r")[0])
+def test_json(numbered, repos):
+    docs = findings_json.json_documents(numbered, repos)
+    found = json.loads(text_of(docs, "r"))
     assert [f["ID"] for f in found] == ["F-0001", "F-0002", "F-0003", "F-0004"]
     assert list(found[0]) == "ID Class Severity Title Description File StartRow StartCol EndRow EndCol Language NodeID".split()
     assert found[0]["StartRow"] == 41 and found[2]["Description"] == "Secret — é."
-    assert json.loads(text_of(docs, "empty")[0]) is None
+    assert json.loads(text_of(docs, "empty")) is None
 
 
-@pytest.mark.parametrize("rows_per_part", [100, 1])
-def test_markdown(numbered, repos, rows_per_part):
-    docs = markdown.markdown_documents(numbered, repos, rows_per_part)
-    text = text_of(docs, "r")[0]
+def test_markdown(numbered, repos):
+    docs = markdown.markdown_documents(numbered, repos)
+    text = text_of(docs, "r")
     lines = text.split("\n")
     assert lines.index("| critical | 1 |") < lines.index("| high | 2 |") < lines.index("| low | 1 |")
-    assert "- **File:** `db/handler.py:42:9`" in lines and "### F-0001 [high] Potential SQL injection" in lines
+    at = lines.index("1. **F-0001** (high, sql-injection) Potential SQL injection")
+    assert lines[at + 1] == "   at `db/handler.py:42:9`, language: python"
     assert "| medium" not in text
-    assert "No vulnerabilities found" in text_of(docs, "empty")[0]
-    assert "| odd" not in text_of(markdown.markdown_documents(numbered), "s")[0]
+    assert "No vulnerabilities found" in text_of(docs, "empty")
+    assert "| odd" not in text_of(markdown.markdown_documents(numbered), "s")
 
 
-@pytest.mark.parametrize("rows_per_part", [100, 1])
-def test_html(numbered, repos, rows_per_part):
-    docs = html.html_documents(numbered, repos, rows_per_part)
-    text = text_of(docs, "r")[0]
-    assert text.startswith("<!DOCTYPE html>") and text.endswith("</body></html>\n")
-    assert "4 findings" in text and "db/handler.py:42:9" in text and "<script>" not in text
-    assert "Hardcoded &lt;script&gt; password" in text and text.count('class="finding"') == 4
-    assert text.count("finding-desc") - html.HEAD.count("finding-desc") == 3
-    assert "No vulnerabilities found" in text_of(docs, "empty")[0]
+def test_html(numbered, repos):
+    docs = html.html_documents(numbered, repos)
+    text = text_of(docs, "r")
+    assert text.startswith("<!DOCTYPE html>") and text.endswith("</main></body></html>\n")
+    assert "<h1>4 findings</h1>" in text and "db/handler.py:42:9" in text and "<script>" not in text
+    assert "Hardcoded &lt;script&gt; password" in text and text.count("<article ") == text.count("</article>") == 4
+    assert "<tr><td>high</td><td>2</td></tr>" in text
+    assert "No vulnerabilities found" in text_of(docs, "empty")
 
 
 def test_written_files_are_the_documents(numbered, repos, tmp_path):
@@ -102,7 +97,7 @@ def test_written_files_are_the_documents(numbered, repos, tmp_path):
         return "".join(open(os.path.join(folder, n), encoding="utf8").read() for n in names)
 
     out = str(tmp_path / "sarif")
-    sarif.write_sarif(numbered, out, repos, rows_per_part=1)
+    sarif.write_sarif(numbered, out, repos)
     assert len(json.loads(read(out, "r"))["runs"][0]["results"]) == 4
     assert json.loads(read(out, "empty"))["runs"][0]["results"] == []
     findings_json.write_findings_json(numbered, str(tmp_path / "json"), repos)
@@ -110,6 +105,29 @@ def test_written_files_are_the_documents(numbered, repos, tmp_path):
     findings_json.write_findings_json(numbered, str(tmp_path / "lines"), lines=True)
     assert numbered.sparkSession.read.json(str(tmp_path / "lines")).count() == 5
     markdown.write_markdown(numbered, str(tmp_path / "md"), repos)
-    assert read(str(tmp_path / "md"), "r") == text_of(markdown.markdown_documents(numbered, repos), "r")[0]
+    assert read(str(tmp_path / "md"), "r") == text_of(markdown.markdown_documents(numbered, repos), "r")
     html.write_html(numbered, str(tmp_path / "html"), repos)
     assert read(str(tmp_path / "html"), "r").endswith("</body></html>\n")
+    reports.write_report("json", numbered, str(tmp_path / "named"), repos)
+    assert read(str(tmp_path / "named"), "r") == read(str(tmp_path / "json"), "r")
+    with pytest.raises(ValueError, match="unknown report format"):
+        reports.write_report("pdf", numbered, str(tmp_path / "pdf"))
+
+
+def test_a_large_document_parses(spark, tmp_path):
+    """Many findings over many partitions and files have the same layout as few."""
+    rows = spark.range(30_000).selectExpr(
+        "'big' as repo", "'xss' as class", "'low' as severity", "'T' as title", "'D' as description", "concat('f', id) as file", "cast(id as int) as start_row",
+        "0 as start_col", "0 as end_row", "0 as end_col", "'go' as language", "concat('n', id) as node_id", "'code' as source", "0 as phase", "id as position", "0 as def_ordinal")
+    rows = numbering.number_findings(rows.repartition(7)).cache()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for name in ("sarif", "json"):
+        reports.write_report(name, rows, str(tmp_path / name))
+        folder = tmp_path / name / "repo=big"
+        files = sorted(p for p in os.listdir(folder) if p.startswith("part-"))
+        doc = json.loads("".join((folder / p).read_text() for p in files))
+        found = doc["runs"][0]["results"] if name == "sarif" else doc
+        assert len(files) > 1 and len(found) == 30_000
+        if name == "json":
+            assert [f["StartRow"] for f in found] == list(range(30_000))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

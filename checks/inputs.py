@@ -129,11 +129,12 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The script of each page as a source file."""
-    script = F.regexp_extract("html", "<script>(.*?)</script>", 1)
-    return table(spark, sf_dir, "pages").select(
-        F.lit("web").alias("repo"), F.concat(F.lit("p"), text("page_id"), F.lit(".js")).alias("path"),
-        F.lit("javascript").alias("language"), F.encode(script, "utf-8").alias("content"),
+    """Every script of each page as a source file, however it is written."""
+    scripts = F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*>(.*?)</script\s*>"), 1)
+    found = table(spark, sf_dir, "pages").select("page_id", F.posexplode(scripts).alias("number", "script"))
+    return found.select(
+        F.lit("web").alias("repo"), F.concat(F.lit("p"), text("page_id"), F.lit("-"), text("number"), F.lit(".js")).alias("path"),
+        F.lit("javascript").alias("language"), F.encode("script", "utf-8").alias("content"),
     )
 
 

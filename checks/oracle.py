@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from checks import inputs as I
 from checks import templates
-from srcatlas import rules
 
 
 def _q(text: str) -> str:
@@ -63,14 +62,82 @@ ed AS (
   ON c.repo = f.repo AND c.language = f.language AND c.name = f.name
   WHERE c.kind = 'call' AND f.kind = 'function')"""
 
+# ---- fixed values, typed out here so that a wrong row in the package does not pass ----
+# Dangerous calls: language, names, class, severity, title, description.
+SINK_VALUES = [
+    ("python", "execute executemany raw", "sql-injection", "high", "Potential SQL injection", "Call to database execution function. Verify parameterized queries are used."),
+    ("go", "Exec Query QueryRow", "sql-injection", "high", "Potential SQL injection", "Call to database query function. Verify parameterized queries are used."),
+    ("javascript", "query execute raw", "sql-injection", "high", "Potential SQL injection", "Call to database query function. Verify parameterized queries are used."),
+    ("python", "popen system call check_output run", "command-injection", "critical", "Potential command injection", "Call to OS command execution function."),
+    ("go", "Command CommandContext", "command-injection", "critical", "Potential command injection", "Call to exec.Command. Verify input is sanitized."),
+    ("javascript", "exec execSync spawn execFile", "command-injection", "critical", "Potential command injection", "Call to child_process execution function."),
+    ("python", "get post put delete request urlopen", "ssrf", "high", "Potential SSRF", "HTTP request function called. Verify URL is not user-controlled."),
+    ("go", "Get Post Do NewRequest", "ssrf", "high", "Potential SSRF", "HTTP request function called. Verify URL is not user-controlled."),
+    ("javascript", "fetch get post request axios", "ssrf", "high", "Potential SSRF", "HTTP request function called. Verify URL is not user-controlled."),
+    ("javascript", "innerHTML outerHTML write writeln", "xss", "high", "Potential XSS", "DOM manipulation with potentially unsanitized input."),
+    ("go", "Fprintf Fprintln", "xss", "medium", "Potential XSS", "Writing to response writer. Verify output is escaped."),
+    ("python", "open", "path-traversal", "medium", "Potential path traversal", "File open with potentially user-controlled path."),
+    ("go", "Open ReadFile WriteFile", "path-traversal", "medium", "Potential path traversal", "File operation with potentially user-controlled path."),
+    ("java", "executeQuery executeUpdate execute prepareStatement", "sql-injection", "high", "Potential SQL injection", "Call to JDBC execution function. Verify parameterized queries are used."),
+    ("java", "exec getRuntime", "command-injection", "critical", "Potential command injection", "Call to Runtime.exec. Verify input is sanitized."),
+    ("java", "openConnection openStream", "ssrf", "high", "Potential SSRF", "HTTP connection opened. Verify URL is not user-controlled."),
+    ("java", "write println", "xss", "medium", "Potential XSS", "Writing to response. Verify output is escaped."),
+    ("csharp", "ExecuteNonQuery ExecuteReader ExecuteScalar", "sql-injection", "high", "Potential SQL injection", "Call to ADO.NET execution function. Verify parameterized queries are used."),
+    ("csharp", "Start", "command-injection", "critical", "Potential command injection", "Call to Process.Start. Verify input is sanitized."),
+    ("csharp", "GetAsync PostAsync SendAsync GetStringAsync", "ssrf", "high", "Potential SSRF", "HTTP request function called. Verify URL is not user-controlled."),
+    ("rust", "query execute", "sql-injection", "high", "Potential SQL injection", "Call to database execution function. Verify parameterized queries are used."),
+    ("rust", "Command spawn output", "command-injection", "critical", "Potential command injection", "Call to process execution function. Verify input is sanitized."),
+    ("rust", "get post send", "ssrf", "high", "Potential SSRF", "HTTP request function called. Verify URL is not user-controlled."),
+    ("php", "mysql_query mysqli_query query exec prepare", "sql-injection", "high", "Potential SQL injection", "Call to database query function. Verify parameterized queries are used."),
+    ("php", "exec system passthru shell_exec popen proc_open", "command-injection", "critical", "Potential command injection", "Call to OS command execution function."),
+    ("php", "file_get_contents curl_exec fopen", "ssrf", "high", "Potential SSRF", "Function may make HTTP requests. Verify URL is not user-controlled."),
+    ("php", "echo print", "xss", "high", "Potential XSS", "Output function called. Verify output is escaped with htmlspecialchars."),
+    ("php", "include require include_once require_once", "path-traversal", "medium", "Potential path traversal / file inclusion", "File inclusion with potentially user-controlled path."),
+    ("php", "unserialize", "insecure-deserialization", "critical", "Insecure deserialization", "unserialize() with untrusted data enables arbitrary object injection."),
+    ("python", "loads load", "insecure-deserialization", "high", "Potential insecure deserialization", "Pickle/YAML load with potentially untrusted data."),
+    ("java", "readObject readUnshared", "insecure-deserialization", "critical", "Insecure deserialization", "Java ObjectInputStream deserialization of untrusted data."),
+    ("php", "raw selectRaw whereRaw orderByRaw groupByRaw havingRaw", "sql-injection", "high", "Laravel raw SQL query", "DB::raw() or raw query method bypasses Eloquent parameterization."),
+    ("php", "fromSub selectSub", "sql-injection", "medium", "Laravel raw subquery", "Raw subquery may contain unsanitized input."),
+    ("php", "executeQuery executeStatement", "sql-injection", "high", "Symfony/Doctrine raw query", "Doctrine DBAL direct query execution. Verify parameterized queries."),
+]
+# Title and severity of the secret rules, in their order.
+SECRET_VALUES = [
+    ("Hardcoded password", "high"),
+    ("Hardcoded API key", "high"),
+    ("Hardcoded secret/token", "high"),
+    ("Hardcoded AWS credential", "critical"),
+    ("AWS Access Key ID", "critical"),
+    ("Private key in source", "critical"),
+    ("GitHub personal access token", "critical"),
+    ("Hardcoded connection string", "high"),
+]
+# Languages by file extension.
+EXTENSION_VALUES = {
+    "python": [".py", ".pyw"],
+    "javascript": [".js", ".mjs", ".cjs", ".jsx"],
+    "typescript": [".ts", ".tsx", ".mts", ".cts"],
+    "go": [".go"],
+    "sql": [".sql"],
+    "yaml": [".yaml", ".yml"],
+    "json": [".json"],
+    "hcl": [".tf", ".tfvars", ".hcl"],
+    "java": [".java"],
+    "csharp": [".cs"],
+    "rust": [".rs"],
+    "php": [".php"],
+}
+LANGUAGE_VALUES = ["python", "javascript", "typescript", "go", "java", "csharp", "rust", "php", "sql", "yaml", "json", "hcl", "dockerfile"]
+# Directory names left out of a scan.
+IGNORED_VALUES = [".git", "node_modules", "vendor", "__pycache__", ".venv", "venv", "dist", "build", ".next", ".cache", "target"]
+
 _SINK_ROWS = ",\n".join(
     f"({i}, {_q(lang)}, {_q(name)}, {_q(cls)}, {_q(sev)}, {_q(title)}, {_q(desc)})"
-    for i, (lang, names, cls, sev, title, desc) in enumerate(rules.SINKS)
+    for i, (lang, names, cls, sev, title, desc) in enumerate(SINK_VALUES)
     for name in names.split()
 )
 SINKS = f"si(def_ordinal, language, name, class, severity, title, description) AS (VALUES {_SINK_ROWS})"
 
-# The rules as written for RE2, whose classes and case folding are the measure.
+# The rules as written for RE2, whose classes and case folding are the measure.
 SECRET_PATTERNS = [
     r"""(?i)(password|passwd|pwd)\s*[:=]\s*['\"][^'\"]{4,}""",
     r"""(?i)(api[_-]?key|apikey)\s*[:=]\s*['\"][^'\"]{8,}""",
@@ -91,8 +158,8 @@ _IS_CONCAT = (
     + " OR ".join(f"contains(name, {_q(m)})" for m in [" + ", "% ", ".format(", 'f"', "f'"])
     + ")"
 )
-_TITLES = [r[1] for r in rules.SECRETS]
-_SEVERITIES = [r[2] for r in rules.SECRETS]
+_TITLES = [r[0] for r in SECRET_VALUES]
+_SEVERITIES = [r[1] for r in SECRET_VALUES]
 
 _AT = "path AS file, start_row, start_col, end_row, end_col, language, node_id, 'code' AS source"
 
@@ -144,8 +211,9 @@ f_semgrep AS (SELECT 'r' || (c_custkey % 6) AS repo,
     (c_nationkey + 2)::INTEGER AS end_row, 7 AS end_col, '' AS language, '' AS node_id, 'semgrep' AS source,
     4 AS phase, 0::BIGINT AS position, 0 AS def_ordinal FROM sg)"""
 
-MERGED = f"""{FINDINGS},{_EXTERNAL},
+MERGED_ONLY = f"""{_EXTERNAL},
 me AS (SELECT * FROM fd UNION ALL SELECT * FROM f_trivy UNION ALL SELECT * FROM f_semgrep)"""
+MERGED = f"{FINDINGS},{MERGED_ONLY}"
 
 _ORDER = "phase, position, file, start_row, start_col, node_id, def_ordinal, end_row, end_col, class, title, description"
 
@@ -161,7 +229,7 @@ _RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' T
 _LEVEL = "CASE WHEN {0} IN ('critical', 'high') THEN 'error' WHEN {0} = 'medium' THEN 'warning' ELSE 'note' END"
 
 _EXT_CASES = " ".join(
-    f"WHEN ext IN ({', '.join(map(_q, exts))}) THEN {_q(language)}" for language, exts in rules.EXTENSIONS.items()
+    f"WHEN ext IN ({', '.join(map(_q, exts))}) THEN {_q(language)}" for language, exts in EXTENSION_VALUES.items()
 )
 PATHS = f"""
 pa0 AS (SELECT 'r' || (l_suppkey % 20) AS repo,
@@ -177,8 +245,8 @@ def _kept(names: list[str]) -> str:
     return f"NOT list_has_any(parts[1:len(parts) - 1], {_list(names)})"
 
 
-_DEFAULT_DIRS = rules.IGNORED_DIRS
-_CHANGED_DIRS = [d for d in rules.IGNORED_DIRS if d != "build"] + ["deploy"]
+_DEFAULT_DIRS = IGNORED_VALUES
+_CHANGED_DIRS = [d for d in IGNORED_VALUES if d != "build"] + ["deploy"]
 
 
 def _templated() -> str:
@@ -272,9 +340,10 @@ pieces AS (
 {_PIECES}"""
 
 _GRAPH = f"WITH {ELEMENTS},{FILES},{NODES},{EDGES}"
-_REACH = _GRAPH.replace("WITH", "WITH RECURSIVE", 1) + """,
+_REACH = f"WITH RECURSIVE {ELEMENTS},{FILES},{NODES},{EDGES},{SINKS}" + """,
 reach(repo, start, node_id) AS (
-  SELECT repo, node_id, node_id FROM no
+  SELECT DISTINCT n.repo, n.node_id, n.node_id FROM nid n JOIN nid c ON c.repo = n.repo AND c.path = n.path
+    JOIN si ON c.language = si.language AND c.name = si.name WHERE n.kind = 'call' AND c.kind = 'call' AND si.severity = 'critical'
   UNION
   SELECT r.repo, r.start, e.dst FROM reach r JOIN ed e ON e.repo = r.repo AND e.src = r.node_id
   WHERE e.kind IN ('calls', 'defined_in', 'imports'))
@@ -296,7 +365,12 @@ _EP = f"""WITH {ELEMENTS}, nid AS (SELECT *, {_NODE_ID} AS node_id FROM el),
 ep AS (SELECT repo, name, path AS file, start_row + 1 AS line, node_id FROM nid f WHERE kind = 'function' AND NOT EXISTS (
   SELECT 1 FROM el c WHERE c.kind = 'call' AND c.repo = f.repo AND c.language = f.language AND c.name = f.name))"""
 _NEIGHBOUR = """ SELECT repo, of, node_id, kind, name, file, language, start_row, start_col, end_row, end_col
-    FROM (SELECT repo, {0} AS of, {1} AS node_id FROM ed WHERE kind = 'calls') x JOIN no USING (repo, node_id)"""
+    FROM (SELECT repo, {0} AS of, {1} AS node_id FROM ed WHERE kind = 'calls') x JOIN no USING (repo, node_id)
+    WHERE EXISTS (SELECT 1 FROM no o WHERE o.repo = x.repo AND o.node_id = x.of AND o.start_row < 20)"""
+
+
+_RUN_BASE = f"WITH {_templated()}, el AS (SELECT * FROM tx), fi AS (SELECT DISTINCT repo, path, language FROM tf)"
+_RUN = f"{_RUN_BASE}, nid AS (SELECT *, {_NODE_ID} AS node_id FROM el), {FINDINGS.split('FROM el),', 1)[1]},{MERGED_ONLY},{_numbered('me')}"
 
 
 def statements() -> dict[str, str]:
@@ -318,11 +392,11 @@ def statements() -> dict[str, str]:
         "ignored_dirs": f"""{paths}, fo AS (SELECT unnest(parts) AS name FROM pa)
             SELECT d.name, (SELECT count(*) FROM fo WHERE fo.name = d.name) AS n FROM (SELECT unnest({_list(_CHANGED_DIRS)}) AS name) d""",
         "language_stats": f"{paths} SELECT repo, language, count(*) AS files {inventory} GROUP BY repo, language",
-        "language_ext": f"""{paths}, ex(ext, language) AS (VALUES {', '.join(f'({_q(e)}, {_q(x)})' for x, es in rules.EXTENSIONS.items() for e in es)})
+        "language_ext": f"""{paths}, ex(ext, language) AS (VALUES {', '.join(f'({_q(e)}, {_q(x)})' for x, es in EXTENSION_VALUES.items() for e in es)})
             SELECT ext, ex.language, (SELECT count(*) FROM pa WHERE pa.ext = ex.ext) AS n FROM ex""",
         "supported_languages": f"""{paths}, la AS (SELECT language, count(*) AS files {inventory} GROUP BY language)
-            SELECT x.language, x.language IN ({', '.join(map(_q, templates.LANGUAGES))}) AS extractable, coalesce(files, 0) AS files
-            FROM (SELECT unnest({_list(rules.LANGUAGES)}) AS language) x LEFT JOIN la ON la.language = x.language""",
+            SELECT x.language, x.language IN ({', '.join(map(_q, templates.LANGUAGES))}) AS extractable, true AS parseable, coalesce(files, 0) AS files
+            FROM (SELECT unnest({_list(LANGUAGE_VALUES)}) AS language) x LEFT JOIN la ON la.language = x.language""",
         "read_source_files": """WITH t AS (SELECT ['a', 'a/b/_c', 'node_modules/x', '.github', 'd/build'][1 + page_id % 5] AS dir,
               ['.py', '.js', '.txt', '.go'][1 + page_id % 4] AS ext, ['p', '__init__', '.p'][1 + page_id % 3] AS base, page_id, html FROM pages)
             SELECT 'web' AS repo, dir || '/' || page_id || '/' || base || ext AS path,
@@ -336,13 +410,36 @@ def statements() -> dict[str, str]:
               (8 + length(doc_id::VARCHAR))::INTEGER AS end_col FROM d
             UNION ALL SELECT source, 'd' || doc_id || '.py', 'python', 'string', 0, 'string', md5(lit), 1, 11,
               (1 + length(lit) - length(replace(lit, chr(10), '')))::INTEGER, 3 FROM d""",
-        "extract_page_scripts": r"""WITH s AS (SELECT page_id, regexp_extract(html, '<script>(.*?)</script>', 1) AS js FROM pages),
+        "extract_page_scripts": r"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<script\b[^>]*>(.*?)</script\s*>', 1) AS js FROM pages),
+            s AS (SELECT 'p' || page_id || '-' || (n - 1) || '.js' AS path, js[n] AS js FROM (SELECT *, unnest(generate_series(1, len(js))) AS n FROM a)),
             m AS (SELECT *, regexp_extract(js, '("[^"]*")', 1) AS lit FROM s)
-            SELECT 'web' AS repo, 'p' || page_id || '.js' AS path, 'javascript' AS language, 'call' AS kind, 0 AS ordinal,
+            SELECT 'web' AS repo, path, 'javascript' AS language, 'call' AS kind, 0 AS ordinal,
               'identifier' AS node_type, 'track' AS name, 0 AS start_row, (strpos(js, 'track(') - 1)::INTEGER AS start_col, 0 AS end_row,
               (strpos(js, 'track(') + 4)::INTEGER AS end_col FROM m WHERE contains(js, 'track(')
-            UNION ALL SELECT 'web', 'p' || page_id || '.js', 'javascript', 'string', 0, 'string', lit, 0, (strpos(js, lit) - 1)::INTEGER, 0,
+            UNION ALL SELECT 'web', path, 'javascript', 'string', 0, 'string', lit, 0, (strpos(js, lit) - 1)::INTEGER, 0,
               (strpos(js, lit) - 1 + strlen(lit))::INTEGER FROM m WHERE lit <> ''""",
+        "scan_run": f"""{_RUN} SELECT repo, seq, finding_id, class, severity, title, file, start_row, start_col, source FROM nu""",
+        "scan_run_metrics": f"""{_RUN}, es AS (SELECT repo, count(*) AS elements FROM el GROUP BY repo),
+            pairs AS (SELECT c.repo, sum(c.n * f.n)::BIGINT AS resolved FROM
+              (SELECT repo, language, name, count(*) AS n FROM el WHERE kind = 'call' GROUP BY ALL) c JOIN
+              (SELECT repo, language, name, count(*) AS n FROM el WHERE kind = 'function' GROUP BY ALL) f USING (repo, language, name) GROUP BY c.repo),
+            fs AS (SELECT repo, count(*) AS files, count(DISTINCT language) AS languages FROM fi GROUP BY repo),
+            mc AS (SELECT repo, count(*) FILTER (phase < 3) AS findings, count(*) FILTER (phase > 2) AS external_findings,
+              bool_or(phase = 3) AS t, bool_or(phase = 4) AS s FROM me GROUP BY repo)
+            SELECT fs.repo, files, languages, files + elements AS nodes, elements + coalesce(resolved, 0) AS edges, coalesce(resolved, 0)::BIGINT AS resolved_calls,
+              coalesce(findings, 0) AS findings, coalesce(external_findings, 0) AS external_findings,
+              CASE WHEN t AND s THEN 'trivy, semgrep' WHEN t THEN 'trivy' WHEN s THEN 'semgrep' ELSE '' END AS external_tools
+            FROM fs JOIN es USING (repo) LEFT JOIN pairs USING (repo) LEFT JOIN mc USING (repo)""",
+        "tree_info": f"""{_RUN_BASE}, k AS (SELECT repo, kind || 's' AS measure, count(*) AS value FROM el GROUP BY ALL),
+            kinds AS (SELECT r.repo, v.measure, coalesce(k.value, 0) AS value FROM (SELECT DISTINCT repo FROM fi) r
+              CROSS JOIN (VALUES ('functions'), ('calls'), ('imports'), ('strings')) v(measure) LEFT JOIN k ON k.repo = r.repo AND k.measure = v.measure),
+            pairs AS (SELECT c.repo, sum(c.n * f.n)::BIGINT AS resolved FROM
+              (SELECT repo, language, name, count(*) AS n FROM el WHERE kind = 'call' GROUP BY ALL) c JOIN
+              (SELECT repo, language, name, count(*) AS n FROM el WHERE kind = 'function' GROUP BY ALL) f USING (repo, language, name) GROUP BY c.repo)
+            SELECT repo, measure, value FROM kinds
+            UNION ALL SELECT repo, 'files', count(*) FROM fi GROUP BY repo
+            UNION ALL SELECT repo, 'language:' || language, count(*) FROM fi GROUP BY repo, language
+            UNION ALL SELECT r.repo, 'resolved_calls', coalesce(resolved, 0) FROM (SELECT DISTINCT repo FROM fi) r LEFT JOIN pairs USING (repo)""",
         "parse_status": f"{templated} SELECT repo, path, language, language <> 'php' AND length(path) % 3 = 0 AS has_errors FROM tf",
         "sink_rules": f"{elements}, {SINKS} SELECT si.*, (SELECT count(*) FROM el WHERE kind = 'call' AND el.language = si.language AND el.name = si.name) AS calls FROM si",
         "secret_rules": f"""{findings}, sr AS (SELECT unnest(range(1, 9))::INTEGER AS priority)

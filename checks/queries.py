@@ -13,7 +13,7 @@ from checks import inputs as I
 from srcatlas import rules
 from srcatlas.functions import columns as C
 from srcatlas.operators import detection, extraction, graph, numbering, summary
-from srcatlas.plans import understand
+from srcatlas.plans import scan, understand
 from srcatlas.session import new_shared_path
 from srcatlas.sinks import findings_json, html, markdown, sarif
 from srcatlas.sources import scanner_reports, trees
@@ -169,6 +169,33 @@ def parse_status(spark, sf):
     return extraction.parse_status(files.withColumn("content", content))
 
 
+# ---- whole runs ------------------------------------------------------------------
+
+
+def _scan(spark, sf):
+    files = I.templated_files(spark, sf)
+    return scan.scan_files(files, trivy=I.trivy_reports(spark, sf), semgrep=I.semgrep_reports(spark, sf))
+
+
+@query
+def scan_run(spark, sf):
+    """A whole scan from the bytes of source files to numbered findings, scanner reports merged."""
+    return _scan(spark, sf).findings.select("repo", "seq", "finding_id", "class", "severity", "title", "file", "start_row", "start_col", "source")
+
+
+@query
+def scan_run_metrics(spark, sf):
+    """Counters of a whole scan."""
+    return _scan(spark, sf).metrics().filter("files > 0")
+
+
+@query
+def tree_info(spark, sf):
+    """Files and elements of a whole code base: statistics and languages, from the bytes."""
+    files, elements = scan.store(I.templated_files(spark, sf))
+    return understand.repo_summary(files, elements)
+
+
 # ---- detection -------------------------------------------------------------------
 
 
@@ -302,22 +329,24 @@ def resolve_calls(spark, sf):
 
 @query
 def calls_from(spark, sf):
-    nodes, edges = nodes_and_edges(spark, sf)
-    return graph.calls_from(nodes, edges, graph.nodes_of_kind(nodes, "call"))
+    nodes, _ = nodes_and_edges(spark, sf)
+    return graph.calls_from(nodes, I.elements(spark, sf), graph.nodes_of_kind(nodes, "call").filter("start_row < 20"))
 
 
 @query
 def callers_of(spark, sf):
-    nodes, edges = nodes_and_edges(spark, sf)
-    return graph.callers_of(nodes, edges, graph.nodes_of_kind(nodes, "function"))
+    nodes, _ = nodes_and_edges(spark, sf)
+    return graph.callers_of(nodes, I.elements(spark, sf), graph.nodes_of_kind(nodes, "function").filter("start_row < 20"))
 
 
 @query
 def reachable(spark, sf):
-    """From every node, over the compact edges."""
+    """From the calls in files with a critical sink finding, over the compact edges."""
     elements = I.elements(spark, sf)
     nodes = graph.build_nodes(I.files(spark, sf), elements)
-    found = graph.reachable(nodes, graph.traversal_edges(elements), nodes, ["calls", "defined_in", "imports"])
+    critical = detection.match_sinks(elements).filter("severity = 'critical'").select("repo", F.col("file").alias("path")).distinct()
+    starts = elements.filter("kind = 'call'").join(critical, ["repo", "path"], "left_semi").select("repo", graph.node_id().alias("node_id"))
+    found = graph.reachable(nodes, graph.traversal_edges(elements), starts, ["calls", "defined_in", "imports"])
     return found.select("repo", "start", "node_id", "kind")
 
 

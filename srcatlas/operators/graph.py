@@ -17,14 +17,14 @@ from srcatlas.session import cut
 
 CALL_KEY = ["repo", "language", "name"]
 
-# Above this many pairs of one name the join splits it into shares, at most so many.
-PAIRS_PER_SHARE = 10_000_000
-MOST_SHARES = 4096
+# Calls or functions of one name that meet in one share of the join.
+ROWS_PER_SHARE = 3000
 
 # Above this many edges a source node is fanned out over intermediate nodes.
 FAN_OUT = 100_000
 
 
+# The forms of node ids.
 def file_id(path: Column | str = "path") -> Column:
     return F.concat(F.lit("file:"), path if isinstance(path, Column) else F.col(path))
 
@@ -95,8 +95,8 @@ def structure_edges(elements: DataFrame) -> DataFrame:
     )
 
 
-def _hot_names(elements: DataFrame, limit: int) -> DataFrame:
-    """Names with more than ``limit`` pairs, and into how many shares to split them."""
+def _shares(elements: DataFrame, rows_per_share: int) -> DataFrame:
+    """Names that have both calls and functions, and into how many shares each side is split."""
     counts = (
         elements.filter(F.col("kind").isin("call", "function"))
         .groupBy(*CALL_KEY)
@@ -105,47 +105,39 @@ def _hot_names(elements: DataFrame, limit: int) -> DataFrame:
             F.count_if(F.col("kind") == "function").alias("functions"),
         )
     )
-    pairs = F.col("calls").cast("double") * F.col("functions")
-    return counts.filter(pairs > limit).select(
-        *CALL_KEY,
-        F.least(F.ceil(pairs / limit), F.lit(MOST_SHARES)).cast("int").alias("shares"),
-        (F.col("calls") >= F.col("functions")).alias("split_calls"),
+    return counts.filter("calls > 0 AND functions > 0").select(
+        *CALL_KEY, F.ceil(F.col("calls") / rows_per_share).alias("call_shares"),
+        F.ceil(F.col("functions") / rows_per_share).alias("function_shares"),
     )
 
 
-def resolved_pairs(elements: DataFrame, pairs_per_share: int = PAIRS_PER_SHARE) -> DataFrame:
+def resolved_pairs(elements: DataFrame, rows_per_share: int = ROWS_PER_SHARE) -> DataFrame:
     """Every call with every function of its name and language in its repository.
 
     Columns ``repo``, ``language``, ``name``, then ``call`` and ``function`` structs
-    (node_id, path, start_row). Few rows of a hot name can make very many pairs,
-    which no check of input sizes sees. So pairs are counted per name first; the
-    larger side of a hot name is split into shares, and its smaller side goes to
-    each of them.
+    (node_id, path, start_row). Both sides of a name are split into shares by their
+    counts, and every call share meets every function share, so no key has more than
+    about ``rows_per_share`` rows of a side. Calls without a definition, often the most
+    frequent names, go no further than the join with the counts, which splits at will.
     """
     side = F.struct(node_id().alias("node_id"), F.col("path"), F.col("start_row"))
-    calls = elements.filter("kind = 'call'").select(*CALL_KEY, side.alias("call"))
-    functions = elements.filter("kind = 'function'").select(*CALL_KEY, side.alias("function"))
-    hot = _hot_names(elements, pairs_per_share)
-    if hot.isEmpty():
-        return calls.join(functions, CALL_KEY, "inner")
-    hot = cut(hot)
-
-    def shared(rows: DataFrame, column: str, is_split: Column) -> DataFrame:
-        shares = F.coalesce(F.col("shares"), F.lit(1))
-        own = F.array(F.pmod(F.xxhash64(f"{column}.node_id"), shares.cast("bigint")).cast("int"))
-        all_of_them = F.sequence(F.lit(0), shares - 1)
-        return rows.join(hot, CALL_KEY, "left").select(
-            *CALL_KEY, column, F.explode(F.when(is_split, own).otherwise(all_of_them)).alias("share")
+    shares = _shares(elements, rows_per_share)
+
+    def shared(kind: str, own: str, other: str) -> DataFrame:
+        rows = elements.filter(F.col("kind") == kind).select(*CALL_KEY, side.alias(kind)).join(shares, CALL_KEY)
+        part = F.pmod(F.xxhash64(f"{kind}.node_id"), F.col(f"{own}_shares"))
+        return rows.select(
+            *CALL_KEY, kind, part.alias(f"{own}_share"),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}_shares") - 1)).alias(f"{other}_share"),
         )
 
-    calls = shared(calls, "call", F.col("split_calls"))
-    functions = shared(functions, "function", ~F.col("split_calls"))
-    return calls.join(functions, [*CALL_KEY, "share"], "inner").drop("share")
+    key = [*CALL_KEY, "call_share", "function_share"]
+    return shared("call", "call", "function").join(shared("function", "function", "call"), key).drop("call_share", "function_share")
 
 
-def resolve_calls(elements: DataFrame, pairs_per_share: int = PAIRS_PER_SHARE) -> DataFrame:
+def resolve_calls(elements: DataFrame, rows_per_share: int = ROWS_PER_SHARE) -> DataFrame:
     """``calls`` edges: repo, src (call node), dst (function node), kind."""
-    return resolved_pairs(elements, pairs_per_share).select(
+    return resolved_pairs(elements, rows_per_share).select(
         "repo",
         F.col("call.node_id").alias("src"),
         F.col("function.node_id").alias("dst"),
@@ -199,20 +191,24 @@ def strings_containing(nodes: DataFrame, text: str) -> DataFrame:
     return nodes.filter((F.col("kind") == "string") & F.contains(F.col("name"), F.lit(text)))
 
 
-def _neighbours(nodes: DataFrame, edges: DataFrame, ids: DataFrame, at: str, to: str) -> DataFrame:
-    wanted = ids.select("repo", F.col("node_id").alias("of"))
-    calls = edges.filter("kind = 'calls'").select("repo", F.col(at).alias("of"), F.col(to).alias("node_id"))
-    return calls.join(wanted, ["repo", "of"], "inner").join(nodes, ["repo", "node_id"], "inner")
+def _neighbours(nodes: DataFrame, elements: DataFrame, ids: DataFrame, at: str, to: str) -> DataFrame:
+    """From the wanted elements to their names, and only to what has these names."""
+    wanted = ids.select("repo", "node_id").distinct()
+    here = elements.filter(F.col("kind") == at).withColumn("node_id", node_id()).join(wanted, ["repo", "node_id"], "left_semi").drop("node_id")
+    there = elements.filter(F.col("kind") == to).join(here.select(*CALL_KEY).distinct(), CALL_KEY, "left_semi")
+    pairs = resolved_pairs(here.unionByName(there.select(*here.columns)))
+    found = pairs.select("repo", F.col(f"{at}.node_id").alias("of"), F.col(f"{to}.node_id").alias("node_id"))
+    return found.join(nodes, ["repo", "node_id"], "inner")
 
 
-def calls_from(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Targets of the call edges of each id in ``ids`` (repo, node_id), which comes back as ``of``."""
-    return _neighbours(nodes, edges, ids, "src", "dst")
+def calls_from(nodes: DataFrame, elements: DataFrame, ids: DataFrame) -> DataFrame:
+    """Functions that each call in ``ids`` (repo, node_id) can mean; the call comes back as ``of``."""
+    return _neighbours(nodes, elements, ids, "call", "function")
 
 
-def callers_of(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Nodes with a call edge to each id in ``ids`` (repo, node_id), which comes back as ``of``."""
-    return _neighbours(nodes, edges, ids, "dst", "src")
+def callers_of(nodes: DataFrame, elements: DataFrame, ids: DataFrame) -> DataFrame:
+    """Calls that can mean each function in ``ids`` (repo, node_id), which comes back as ``of``."""
+    return _neighbours(nodes, elements, ids, "function", "call")
 
 
 # ---- reachability ----------------------------------------------------------------

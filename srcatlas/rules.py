@@ -177,8 +177,11 @@ def severity_rank(spark: SparkSession) -> DataFrame:
 
 
 def supported_languages(spark: SparkSession) -> DataFrame:
-    """language, extractable (has element extraction)."""
+    """language, extractable (has element extraction), parseable (has a parse status)."""
     return _table(
         spark,
-        {"language": pa.array(LANGUAGES), "extractable": pa.array([x in EXTRACTABLE for x in LANGUAGES])},
+        {
+            "language": pa.array(LANGUAGES), "extractable": pa.array([x in EXTRACTABLE for x in LANGUAGES]),
+            "parseable": pa.array([True] * len(LANGUAGES)),
+        },
     )

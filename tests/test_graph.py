@@ -44,11 +44,11 @@ def test_ids_and_direction(two_files):
 
 
 def test_lookups(spark, two_files):
-    _, _, nodes, edges = two_files
+    _, rows, nodes, _ = two_files
     one = lambda i: spark.createDataFrame([("r", i)], "repo string, node_id string")
     target = "func:handler.py:handle_request:0"
-    assert ids(graph.callers_of(nodes, edges, one(target))) == ["call:utils.py:handle_request:0"]
-    assert ids(graph.calls_from(nodes, edges, one("call:utils.py:handle_request:0"))) == [target]
+    assert ids(graph.callers_of(nodes, rows, one(target))) == ["call:utils.py:handle_request:0"]
+    assert ids(graph.calls_from(nodes, rows, one("call:utils.py:handle_request:0"))) == [target]
     assert graph.strings_containing(nodes, "SELECT").count() == 1
     assert graph.strings_containing(nodes, "password").count() == 1
     assert graph.strings_containing(nodes, "nonexistent_xyz_123").count() == 0
@@ -169,7 +169,7 @@ def test_hot_names_are_split(spark, elements):
         rows += [("r", f"f{i % 3}", "go", "function", name) for i in range(functions)]
     df = elements(*rows)
     whole = graph.resolve_calls(df)
-    split = graph.resolve_calls(df, pairs_per_share=20)
+    split = graph.resolve_calls(df, rows_per_share=3)
     assert whole.count() == 50 * 7 + 6 * 40 + 2
     assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect()))
     assert "share" in split._jdf.queryExecution().optimizedPlan().toString()

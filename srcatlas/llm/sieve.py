@@ -138,8 +138,8 @@ def packed_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Several buckets for each shuffle partition, so that one bucket is a small part of a task."""
-    return 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Two buckets for each shuffle partition: few packed rows, and bounded parts of a task."""
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def by_bucket(packed: DataFrame) -> DataFrame:

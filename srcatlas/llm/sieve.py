@@ -42,6 +42,19 @@ def sift(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return rows.select(*names, F.xxhash64(column).alias("__hash")).mapInArrow(run, rows.schema)
 
 
+def maybe(rows: DataFrame, column: str, wanted: DataFrame, flag: str = "maybe") -> DataFrame:
+    """Adds ``flag``: whether ``column`` may be in the same column of ``wanted``; false is certain.
+
+    The same bitmap in built-in SQL: its words, at most 2**BITMAP_BITS / 64 rows, are broadcast.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(column), 64 - BITMAP_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({column}), {64 - BITMAP_BITS}) & 63 as int))")
+    words = wanted.select(F.shiftright(place, 6).alias("__word"), bit.alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    marked_rows = rows.withColumns({"__word": F.shiftright(place, 6), "__bit": bit}).join(F.broadcast(words), "__word", "left")
+    found = F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))
+    return marked_rows.withColumn(flag, found).drop("__word", "__bit", "__bits")
+
+
 class Packer:
     """Collects (key, id) entries of a task and hands them out in packed rows, one per bucket.
 

@@ -7,13 +7,13 @@ from srcatlas.plans import understand
 
 @pytest.fixture(scope="module")
 def two_files(elements):
-    a, b = ("r", "handler.py", "python"), ("r", "utils.py", "python")
+    a, b = ("r", "orders.py", "python"), ("r", "mail.py", "python")
     rows = elements(
-        (*a, "function", "handle_request", 3, 0, 5, 20), (*a, "function", "validate_input", 7, 0, 9, 15),
-        (*a, "call", "validate_input", 4, 4), (*a, "call", "popen", 5, 4), (*a, "import", "os"),
-        (*a, "string", '"SELECT * FROM users WHERE id = "', 4, 12),
-        (*b, "function", "sanitize", 1, 0, 3, 10), (*b, "call", "handle_request", 5, 0), (*b, "import", "handler"),
-        (*b, "string", '"password123"', 2, 8),
+        (*a, "function", "place_order", 3, 0, 5, 20), (*a, "function", "check_stock", 7, 0, 9, 15),
+        (*a, "call", "check_stock", 4, 4), (*a, "call", "popen", 5, 4), (*a, "import", "os"),
+        (*a, "string", '"SELECT price FROM items WHERE sku = "', 4, 12),
+        (*b, "function", "render", 1, 0, 3, 10), (*b, "call", "place_order", 5, 0), (*b, "import", "orders"),
+        (*b, "string", '"smtp secret"', 2, 8),
     ).cache()
     files = rows.select("repo", "path", "language").distinct()
     return files, rows, graph.build_nodes(files, rows), graph.build_edges(rows)
@@ -38,31 +38,31 @@ def test_stats(two_files):
 
 def test_ids_and_direction(two_files):
     _, _, nodes, edges = two_files
-    assert "str:handler.py:0" in ids(nodes) and "call:handler.py:popen:1" in ids(nodes)
+    assert "str:orders.py:0" in ids(nodes) and "call:orders.py:popen:1" in ids(nodes)
     imports = edges.filter("kind = 'imports'").select("src", "dst").collect()
-    assert ("file:handler.py", "import:handler.py:os:0") in [tuple(r) for r in imports]
+    assert ("file:orders.py", "import:orders.py:os:0") in [tuple(r) for r in imports]
 
 
 def test_lookups(spark, two_files):
     _, rows, nodes, _ = two_files
     one = lambda i: spark.createDataFrame([("r", i)], "repo string, node_id string")
-    target = "func:handler.py:handle_request:0"
-    assert ids(graph.callers_of(nodes, rows, one(target))) == ["call:utils.py:handle_request:0"]
-    assert ids(graph.calls_from(nodes, rows, one("call:utils.py:handle_request:0"))) == [target]
+    target = "func:orders.py:place_order:0"
+    assert ids(graph.callers_of(nodes, rows, one(target))) == ["call:mail.py:place_order:0"]
+    assert ids(graph.calls_from(nodes, rows, one("call:mail.py:place_order:0"))) == [target]
     assert graph.strings_containing(nodes, "SELECT").count() == 1
-    assert graph.strings_containing(nodes, "password").count() == 1
+    assert graph.strings_containing(nodes, "smtp").count() == 1
     assert graph.strings_containing(nodes, "nonexistent_xyz_123").count() == 0
     assert graph.strings_containing(nodes, "%").count() == 0
-    assert ids(graph.functions_by_name(nodes, "sanitize")) == ["func:utils.py:sanitize:0"]
+    assert ids(graph.functions_by_name(nodes, "render")) == ["func:mail.py:render:0"]
     assert graph.nodes_of_kind(nodes, "file").count() == 2
 
 
 def test_entry_points_and_lines(two_files):
     _, rows, _, _ = two_files
-    assert [r["line"] for r in understand.entry_point_lines(rows).collect()] == ["sanitize (utils.py:2)"]
+    assert [r["line"] for r in understand.entry_point_lines(rows).collect()] == ["render (mail.py:2)"]
     assert sorted(r["line"] for r in understand.call_graph_lines(rows).collect()) == [
-        "handle_request (utils.py:6) → handle_request (handler.py:4)",
-        "validate_input (handler.py:5) → validate_input (handler.py:8)",
+        "check_stock (orders.py:5) → check_stock (orders.py:8)",
+        "place_order (mail.py:6) → place_order (orders.py:4)",
     ]
 
 
@@ -139,8 +139,8 @@ def test_compact_edges_reach_the_same(two_files):
     full = graph.reachable(nodes, edges, nodes, kinds).select("start", "node_id")
     compact = graph.reachable(nodes, graph.traversal_edges(rows), nodes, kinds).select("start", "node_id")
     assert sorted(map(tuple, full.collect())) == sorted(map(tuple, compact.collect()))
-    start = nodes.filter("node_id = 'call:handler.py:validate_input:0'")
-    assert ids(graph.reachable(nodes, edges, start, ["calls"])) == ["func:handler.py:validate_input:1"]
+    start = nodes.filter("node_id = 'call:orders.py:check_stock:0'")
+    assert ids(graph.reachable(nodes, edges, start, ["calls"])) == ["func:orders.py:check_stock:1"]
 
 
 def test_hot_name(spark):

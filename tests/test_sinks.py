@@ -9,9 +9,9 @@ from srcatlas.sinks import findings_json, html, markdown, reports, sarif
 
 COLUMNS = "repo class severity title description file start_row start_col end_row end_col language".split()
 SAMPLE = [
-    ("r", "sql-injection", "high", "Potential SQL injection", "Call to <b> & \"q\".", "db/handler.py", 41, 8, 41, 30, "python"),
-    ("r", "command-injection", "critical", "Potential command injection", "Call to OS.", "utils/exec.py", 15, 4, 15, 20, "python"),
-    ("r", "hardcoded-secret", "high", "Hardcoded <script> password", "Secret — é.", "config.py", 3, 0, 3, 25, "python"),
+    ("r", "sql-injection", "high", "Potential SQL injection", "Call to <b> & \"q\".", "shop/cart.py", 17, 2, 17, 19, "python"),
+    ("r", "command-injection", "critical", "Potential command injection", "Call to OS.", "jobs/render.py", 5, 0, 5, 9, "python"),
+    ("r", "hardcoded-secret", "high", "Hardcoded <script> password", "Secret — é.", "keys.py", 8, 1, 8, 30, "python"),
     ("r", "sql-injection", "low", "Other title", "", "z.py", 0, 0, 0, 0, ""),
     ("s", "xss", "odd", "T", "D", "a", 0, 0, 0, 0, "go"),
 ]
@@ -45,8 +45,8 @@ def test_sarif(numbered, repos):
     first = run["results"][0]
     assert first["level"] == "error" and first["message"]["text"] == 'Potential SQL injection: Call to <b> & "q".'
     assert first["locations"][0]["physicalLocation"] == {
-        "artifactLocation": {"uri": "db/handler.py"},
-        "region": {"startLine": 42, "startColumn": 9, "endLine": 42, "endColumn": 31},
+        "artifactLocation": {"uri": "shop/cart.py"},
+        "region": {"startLine": 18, "startColumn": 3, "endLine": 18, "endColumn": 20},
     }
     rules = run["tool"]["driver"]["rules"]
     assert [r["id"] for r in rules] == ["sql-injection", "command-injection", "hardcoded-secret"]
@@ -64,7 +64,7 @@ def test_json(numbered, repos):
     found = json.loads(text_of(docs, "r"))
     assert [f["ID"] for f in found] == ["F-0001", "F-0002", "F-0003", "F-0004"]
     assert list(found[0]) == "ID Class Severity Title Description File StartRow StartCol EndRow EndCol Language NodeID".split()
-    assert found[0]["StartRow"] == 41 and found[2]["Description"] == "Secret — é."
+    assert found[0]["StartRow"] == 17 and found[2]["Description"] == "Secret — é."
     assert json.loads(text_of(docs, "empty")) is None
 
 
@@ -74,7 +74,7 @@ def test_markdown(numbered, repos):
     lines = text.split("\n")
     assert lines.index("| critical | 1 |") < lines.index("| high | 2 |") < lines.index("| low | 1 |")
     at = lines.index("1. **F-0001** (high, sql-injection) Potential SQL injection")
-    assert lines[at + 1] == "   at `db/handler.py:42:9`, language: python"
+    assert lines[at + 1] == "   at `shop/cart.py:18:3`, language: python"
     assert "| medium" not in text
     assert "No vulnerabilities found" in text_of(docs, "empty")
     assert "| odd" not in text_of(markdown.markdown_documents(numbered), "s")
@@ -84,7 +84,7 @@ def test_html(numbered, repos):
     docs = html.html_documents(numbered, repos)
     text = text_of(docs, "r")
     assert text.startswith("<!DOCTYPE html>") and text.endswith("</main></body></html>\n")
-    assert "<h1>4 findings</h1>" in text and "db/handler.py:42:9" in text and "<script>" not in text
+    assert "<h1>4 findings</h1>" in text and "shop/cart.py:18:3" in text and "<script>" not in text
     assert "Hardcoded &lt;script&gt; password" in text and text.count("<article ") == text.count("</article>") == 4
     assert "<tr><td>high</td><td>2</td></tr>" in text
     assert "No vulnerabilities found" in text_of(docs, "empty")

@@ -2,7 +2,7 @@
 
 Calls meet a small rule table, literals are looked at one by one: two passes over
 ``elements``, each reading the rows of its kind only, and no shuffle. ``scan_findings`` is a bag: one literal may give a secret and
-an SQL finding.
+an SQL finding. ``scan_in_one_pass`` gives the same from elements that are not stored and would be made twice.
 """
 
 from __future__ import annotations
@@ -130,6 +130,37 @@ def scan_findings(
     return reduce(DataFrame.unionByName, branches)
 
 
+def scan_in_one_pass(elements: DataFrame, focus: list[str] | None = None) -> DataFrame:
+    """``scan_findings`` with the built-in rules, reading ``elements`` once: for streams and other lazy input."""
+    focus = list(focus) if focus else None
+    text, is_string = F.col("name"), F.col("kind") == "string"
+    fields = ["phase", "class", "severity", "title", "description", "def_ordinal"]
+    table = rules.sink_rules(elements.sparkSession).withColumn("phase", F.lit(model.PHASE_SINK))
+    if focus is not None:
+        table = table.filter(F.col("class").isin(focus))
+    sinks = table.groupBy("language", "name").agg(F.collect_list(F.struct(*fields)).alias("sinks")).withColumn("kind", F.lit("call"))
+    rows = elements.filter(F.col("kind").isin("call", "string")).select(
+        "repo", "path", "language", "kind", "ordinal", "name", *model.POSITION_COLUMNS
+    )
+    hits = rows.join(F.broadcast(sinks), ["language", "name", "kind"], "left")  # about a hundred rows
+    hits = hits.withColumn("priority", F.when(is_string, C.secret_priority(text, rules.SECRETS)))
+    title, severity = (F.element_at(F.array(*[F.lit(rule[i]) for rule in rules.SECRETS]), F.col("priority")) for i in (1, 2))
+
+    def entry(when: Column, wanted: str, *values: Column) -> Column:
+        if focus is not None and wanted not in focus:
+            when = F.lit(False)
+        return F.when(when, F.struct(*[v.alias(f) for v, f in zip(values, fields)]))
+
+    secret = entry(F.col("priority").isNotNull(), rules.SECRET_CLASS, F.lit(model.PHASE_SECRET), F.lit(rules.SECRET_CLASS), severity, title,
+                   F.lit(rules.SECRET_DESCRIPTION), F.lit(0))
+    concat = entry(is_string & C.is_sql_concat(text), rules.SQL_CLASS, F.lit(model.PHASE_CONCAT), F.lit(rules.SQL_CLASS), F.lit("high"),
+                   F.lit(rules.CONCAT_TITLE), F.lit(rules.CONCAT_DESCRIPTION), F.lit(0))
+    none = F.array().cast("array<struct<phase:int,class:string,severity:string,title:string,description:string,def_ordinal:int>>")
+    found = F.concat(F.coalesce("sinks", none), F.array_compact(F.array(secret, concat)))
+    hits = hits.withColumn("found", F.explode(found))
+    return _finding(hits, **{f: F.col(f"found.{f}") for f in fields})
+
+
 def merge_external(findings: DataFrame, *external: DataFrame) -> DataFrame:
     """Append scanner findings; their phase puts them after the internal ones."""
     return reduce(DataFrame.unionByName, external, findings)

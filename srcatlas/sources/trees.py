@@ -136,20 +136,46 @@ def scan_inventory(
     return filter_languages(known.filter("language <> 'unknown'"), languages)
 
 
+# Bytes that fit a value of a table.
+MOST_BYTES = (1 << 31) - 1
+
+
+def _content(row: pa.RecordBatch, most: int) -> bytes:
+    """The bytes of a file; OSError where it cannot be read or has more than ``most``."""
+    full = row.column("root")[0].as_py().rstrip("/") + "/" + row.column("path")[0].as_py()
+    if "://" in full:
+        filesystem, name = pafs.FileSystem.from_uri(full)
+        with filesystem.open_input_stream(name) as source:
+            content = source.read(most + 1)
+    else:
+        with open(full, "rb") as source:
+            content = source.read(most + 1)
+    if len(content) > most:
+        raise OSError(f"more than {most} bytes")
+    return content
+
+
+def _skipped(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                try:
+                    _content(row, most)
+                except OSError as e:
+                    reason = pa.array([e.strerror or str(e)], pa.string())
+                    yield pa.RecordBatch.from_arrays([row.column("repo"), row.column("path"), reason], ["repo", "path", "reason"])
+
+    return run
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the bytes; a file that cannot be read is left out."""
+    """Adds the bytes; a file that cannot be read, or is too large for a value, is left out."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
-            full = row.column("root")[0].as_py().rstrip("/") + "/" + row.column("path")[0].as_py()
             try:
-                if "://" in full:
-                    filesystem, name = pafs.FileSystem.from_uri(full)
-                    with filesystem.open_input_stream(name) as source:
-                        content = source.read()
-                else:
-                    with open(full, "rb") as source:
-                        content = source.read()
+                content = _content(row, MOST_BYTES)
             except OSError:
                 continue
             yield pa.RecordBatch.from_arrays(
@@ -179,6 +205,14 @@ def read_source_files(
     )
 
 
+def skipped_files(
+    roots: DataFrame, languages: list[str] | None = None, ignore_dirs: dict[str, bool] | None = None, most_bytes: int = MOST_BYTES
+) -> DataFrame:
+    """repo, path, reason of the files that ``read_source_files`` leaves out."""
+    files = scan_inventory(list_files(roots, ignore_dirs), languages, ignore_dirs)
+    return files.select("repo", "root", "path").mapInArrow(_skipped(most_bytes), "repo string, path string, reason string")
+
+
 def read_source_table(
     spark: SparkSession, path: str, languages: list[str] | None = None, ignore_dirs: dict[str, bool] | None = None
 ) -> DataFrame:

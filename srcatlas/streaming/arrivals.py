@@ -15,7 +15,7 @@ from srcatlas.operators import detection, extraction
 
 def findings_of_arrivals(files: DataFrame, focus: list[str] | None = None) -> DataFrame:
     """Findings of a stream of ``source_files``."""
-    return detection.scan_findings(extraction.extract_elements(files), focus)
+    return detection.scan_in_one_pass(extraction.extract_elements(files, ["call", "string"]), focus)
 
 
 def start_scan(files: DataFrame, path: str, checkpoint: str, focus: list[str] | None = None, **trigger) -> StreamingQuery:

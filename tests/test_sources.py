@@ -67,6 +67,8 @@ def test_hidden_names_rounds_and_links(tmp_path, roots):
     read = {r["path"] for r in trees.read_source_files(roots(("r", str(tmp_path)))).collect()}
     assert {".eslintrc.json", "pkg/__init__.py", ".github/ci.yml"} <= read
     assert "loop.py" not in read  # a folder, so it cannot be read
+    left_out = {r["path"]: r["reason"] for r in trees.skipped_files(roots(("r", str(tmp_path))), most_bytes=3).collect()}
+    assert left_out["loop.py"] == "Is a directory" and left_out[".github/ci.yml"] == "more than 3 bytes"
 
 
 def test_missing_and_empty_root(tmp_path, roots):

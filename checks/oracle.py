@@ -65,40 +65,40 @@ ed AS (
 # ---- fixed values, typed out here so that a wrong row in the package does not pass ----
 # Dangerous calls: language, names, class, severity, title, description.
 SINK_VALUES = [
-    ("python", "execute executemany raw", "sql-injection", "high", "Potential SQL injection", "Call to database execution function. Verify parameterized queries are used."),
-    ("go", "Exec Query QueryRow", "sql-injection", "high", "Potential SQL injection", "Call to database query function. Verify parameterized queries are used."),
-    ("javascript", "query execute raw", "sql-injection", "high", "Potential SQL injection", "Call to database query function. Verify parameterized queries are used."),
-    ("python", "popen system call check_output run", "command-injection", "critical", "Potential command injection", "Call to OS command execution function."),
-    ("go", "Command CommandContext", "command-injection", "critical", "Potential command injection", "Call to exec.Command. Verify input is sanitized."),
-    ("javascript", "exec execSync spawn execFile", "command-injection", "critical", "Potential command injection", "Call to child_process execution function."),
-    ("python", "get post put delete request urlopen", "ssrf", "high", "Potential SSRF", "HTTP request function called. Verify URL is not user-controlled."),
-    ("go", "Get Post Do NewRequest", "ssrf", "high", "Potential SSRF", "HTTP request function called. Verify URL is not user-controlled."),
-    ("javascript", "fetch get post request axios", "ssrf", "high", "Potential SSRF", "HTTP request function called. Verify URL is not user-controlled."),
-    ("javascript", "innerHTML outerHTML write writeln", "xss", "high", "Potential XSS", "DOM manipulation with potentially unsanitized input."),
-    ("go", "Fprintf Fprintln", "xss", "medium", "Potential XSS", "Writing to response writer. Verify output is escaped."),
-    ("python", "open", "path-traversal", "medium", "Potential path traversal", "File open with potentially user-controlled path."),
-    ("go", "Open ReadFile WriteFile", "path-traversal", "medium", "Potential path traversal", "File operation with potentially user-controlled path."),
-    ("java", "executeQuery executeUpdate execute prepareStatement", "sql-injection", "high", "Potential SQL injection", "Call to JDBC execution function. Verify parameterized queries are used."),
-    ("java", "exec getRuntime", "command-injection", "critical", "Potential command injection", "Call to Runtime.exec. Verify input is sanitized."),
-    ("java", "openConnection openStream", "ssrf", "high", "Potential SSRF", "HTTP connection opened. Verify URL is not user-controlled."),
-    ("java", "write println", "xss", "medium", "Potential XSS", "Writing to response. Verify output is escaped."),
-    ("csharp", "ExecuteNonQuery ExecuteReader ExecuteScalar", "sql-injection", "high", "Potential SQL injection", "Call to ADO.NET execution function. Verify parameterized queries are used."),
-    ("csharp", "Start", "command-injection", "critical", "Potential command injection", "Call to Process.Start. Verify input is sanitized."),
-    ("csharp", "GetAsync PostAsync SendAsync GetStringAsync", "ssrf", "high", "Potential SSRF", "HTTP request function called. Verify URL is not user-controlled."),
-    ("rust", "query execute", "sql-injection", "high", "Potential SQL injection", "Call to database execution function. Verify parameterized queries are used."),
-    ("rust", "Command spawn output", "command-injection", "critical", "Potential command injection", "Call to process execution function. Verify input is sanitized."),
-    ("rust", "get post send", "ssrf", "high", "Potential SSRF", "HTTP request function called. Verify URL is not user-controlled."),
-    ("php", "mysql_query mysqli_query query exec prepare", "sql-injection", "high", "Potential SQL injection", "Call to database query function. Verify parameterized queries are used."),
-    ("php", "exec system passthru shell_exec popen proc_open", "command-injection", "critical", "Potential command injection", "Call to OS command execution function."),
-    ("php", "file_get_contents curl_exec fopen", "ssrf", "high", "Potential SSRF", "Function may make HTTP requests. Verify URL is not user-controlled."),
-    ("php", "echo print", "xss", "high", "Potential XSS", "Output function called. Verify output is escaped with htmlspecialchars."),
-    ("php", "include require include_once require_once", "path-traversal", "medium", "Potential path traversal / file inclusion", "File inclusion with potentially user-controlled path."),
-    ("php", "unserialize", "insecure-deserialization", "critical", "Insecure deserialization", "unserialize() with untrusted data enables arbitrary object injection."),
-    ("python", "loads load", "insecure-deserialization", "high", "Potential insecure deserialization", "Pickle/YAML load with potentially untrusted data."),
-    ("java", "readObject readUnshared", "insecure-deserialization", "critical", "Insecure deserialization", "Java ObjectInputStream deserialization of untrusted data."),
-    ("php", "raw selectRaw whereRaw orderByRaw groupByRaw havingRaw", "sql-injection", "high", "Laravel raw SQL query", "DB::raw() or raw query method bypasses Eloquent parameterization."),
-    ("php", "fromSub selectSub", "sql-injection", "medium", "Laravel raw subquery", "Raw subquery may contain unsanitized input."),
-    ("php", "executeQuery executeStatement", "sql-injection", "high", "Symfony/Doctrine raw query", "Doctrine DBAL direct query execution. Verify parameterized queries."),
+    ("python", ["execute", "executemany", "raw"], "sql-injection", "high", "Potential SQL injection", "Call to database execution function. Verify parameterized queries are used."),
+    ("go", ["Exec", "Query", "QueryRow"], "sql-injection", "high", "Potential SQL injection", "Call to database query function. Verify parameterized queries are used."),
+    ("javascript", ["query", "execute", "raw"], "sql-injection", "high", "Potential SQL injection", "Call to database query function. Verify parameterized queries are used."),
+    ("python", ["popen", "system", "call", "check_output", "run"], "command-injection", "critical", "Potential command injection", "Call to OS command execution function."),
+    ("go", ["Command", "CommandContext"], "command-injection", "critical", "Potential command injection", "Call to exec.Command. Verify input is sanitized."),
+    ("javascript", ["exec", "execSync", "spawn", "execFile"], "command-injection", "critical", "Potential command injection", "Call to child_process execution function."),
+    ("python", ["get", "post", "put", "delete", "request", "urlopen"], "ssrf", "high", "Potential SSRF", "HTTP request function called. Verify URL is not user-controlled."),
+    ("go", ["Get", "Post", "Do", "NewRequest"], "ssrf", "high", "Potential SSRF", "HTTP request function called. Verify URL is not user-controlled."),
+    ("javascript", ["fetch", "get", "post", "request", "axios"], "ssrf", "high", "Potential SSRF", "HTTP request function called. Verify URL is not user-controlled."),
+    ("javascript", ["innerHTML", "outerHTML", "write", "writeln"], "xss", "high", "Potential XSS", "DOM manipulation with potentially unsanitized input."),
+    ("go", ["Fprintf", "Fprintln"], "xss", "medium", "Potential XSS", "Writing to response writer. Verify output is escaped."),
+    ("python", ["open"], "path-traversal", "medium", "Potential path traversal", "File open with potentially user-controlled path."),
+    ("go", ["Open", "ReadFile", "WriteFile"], "path-traversal", "medium", "Potential path traversal", "File operation with potentially user-controlled path."),
+    ("java", ["executeQuery", "executeUpdate", "execute", "prepareStatement"], "sql-injection", "high", "Potential SQL injection", "Call to JDBC execution function. Verify parameterized queries are used."),
+    ("java", ["exec", "getRuntime"], "command-injection", "critical", "Potential command injection", "Call to Runtime.exec. Verify input is sanitized."),
+    ("java", ["openConnection", "openStream"], "ssrf", "high", "Potential SSRF", "HTTP connection opened. Verify URL is not user-controlled."),
+    ("java", ["write", "println"], "xss", "medium", "Potential XSS", "Writing to response. Verify output is escaped."),
+    ("csharp", ["ExecuteNonQuery", "ExecuteReader", "ExecuteScalar"], "sql-injection", "high", "Potential SQL injection", "Call to ADO.NET execution function. Verify parameterized queries are used."),
+    ("csharp", ["Start"], "command-injection", "critical", "Potential command injection", "Call to Process.Start. Verify input is sanitized."),
+    ("csharp", ["GetAsync", "PostAsync", "SendAsync", "GetStringAsync"], "ssrf", "high", "Potential SSRF", "HTTP request function called. Verify URL is not user-controlled."),
+    ("rust", ["query", "execute"], "sql-injection", "high", "Potential SQL injection", "Call to database execution function. Verify parameterized queries are used."),
+    ("rust", ["Command", "spawn", "output"], "command-injection", "critical", "Potential command injection", "Call to process execution function. Verify input is sanitized."),
+    ("rust", ["get", "post", "send"], "ssrf", "high", "Potential SSRF", "HTTP request function called. Verify URL is not user-controlled."),
+    ("php", ["mysql_query", "mysqli_query", "query", "exec", "prepare"], "sql-injection", "high", "Potential SQL injection", "Call to database query function. Verify parameterized queries are used."),
+    ("php", ["exec", "system", "passthru", "shell_exec", "popen", "proc_open"], "command-injection", "critical", "Potential command injection", "Call to OS command execution function."),
+    ("php", ["file_get_contents", "curl_exec", "fopen"], "ssrf", "high", "Potential SSRF", "Function may make HTTP requests. Verify URL is not user-controlled."),
+    ("php", ["echo", "print"], "xss", "high", "Potential XSS", "Output function called. Verify output is escaped with htmlspecialchars."),
+    ("php", ["include", "require", "include_once", "require_once"], "path-traversal", "medium", "Potential path traversal / file inclusion", "File inclusion with potentially user-controlled path."),
+    ("php", ["unserialize"], "insecure-deserialization", "critical", "Insecure deserialization", "unserialize() with untrusted data enables arbitrary object injection."),
+    ("python", ["loads", "load"], "insecure-deserialization", "high", "Potential insecure deserialization", "Pickle/YAML load with potentially untrusted data."),
+    ("java", ["readObject", "readUnshared"], "insecure-deserialization", "critical", "Insecure deserialization", "Java ObjectInputStream deserialization of untrusted data."),
+    ("php", ["raw", "selectRaw", "whereRaw", "orderByRaw", "groupByRaw", "havingRaw"], "sql-injection", "high", "Laravel raw SQL query", "DB::raw() or raw query method bypasses Eloquent parameterization."),
+    ("php", ["fromSub", "selectSub"], "sql-injection", "medium", "Laravel raw subquery", "Raw subquery may contain unsanitized input."),
+    ("php", ["executeQuery", "executeStatement"], "sql-injection", "high", "Symfony/Doctrine raw query", "Doctrine DBAL direct query execution. Verify parameterized queries."),
 ]
 # Title and severity of the secret rules, in their order.
 SECRET_VALUES = [
@@ -133,7 +133,7 @@ IGNORED_VALUES = [".git", "node_modules", "vendor", "__pycache__", ".venv", "ven
 _SINK_ROWS = ",\n".join(
     f"({i}, {_q(lang)}, {_q(name)}, {_q(cls)}, {_q(sev)}, {_q(title)}, {_q(desc)})"
     for i, (lang, names, cls, sev, title, desc) in enumerate(SINK_VALUES)
-    for name in names.split()
+    for name in names
 )
 SINKS = f"si(def_ordinal, language, name, class, severity, title, description) AS (VALUES {_SINK_ROWS})"
 

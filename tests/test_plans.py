@@ -37,7 +37,7 @@ def marked():
 
 
 def sinks_in_marks():
-    names = Counter((lang, name) for lang, ns, *_ in rules.SINKS for name in ns.split())
+    names = Counter((lang, name) for lang, ns, *_ in rules.SINKS for name in ns)
     return sum(names[(lang, n)] for lang in templates.LANGUAGES for kind, _, n, *_ in templates.expected(lang) if kind == "call")
 
 

@@ -7,8 +7,10 @@ medians would run through a large group of copies and part it.) A code's bits ar
 a whole table meet there and are compared by cosine in double precision.
 
 How many bits a table has grows with the number of vectors, so that buckets stay small, and the
-number of tables follows from it: a pair just at the threshold, whose bits differ with probability
-angle / pi, is to meet with probability ``RECALL`` at least. Every vector is indexed.
+number of tables follows from it: a pair just at the threshold is to meet with probability ``RECALL``
+at least. A first number takes bits to differ with probability angle / pi; as a common direction of the
+vectors widens the angles of codes, it is then measured on made pairs at the threshold, and tables are
+added until enough of them meet (beyond ``TABLES``, bits are taken away instead). Every vector is indexed.
 
 A pair may meet in several tables; it is counted in the first one, which both codes tell. So no
 table of pairs is made: each bucket gives counts per vector and a spanning forest of its links.
@@ -36,6 +38,8 @@ from srcatlas.session import cut
 
 #: Vectors the quantiser is fitted on, about; the least recall planned for; vectors compared at once.
 SAMPLE, RECALL, PIECE = 10_000, 0.97, 512
+#: Where more tables than this would be needed, they get fewer bits instead.
+TABLES = 96
 
 
 @dataclass
@@ -92,6 +96,35 @@ def fit(sample: np.ndarray, bits: int, tables: int, rounds: int = 25, seed: int
     return Quantiser(mean, directions, np.median(centred @ directions, axis=0), bits)
 
 
+def pairs_at(sample: np.ndarray, threshold: float, pairs: int = 2000, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Vectors of the sample with partners just at the threshold: in any direction, and towards other vectors of the sample."""
+    rng = np.random.default_rng(seed)
+    a = sample[rng.integers(len(sample), size=pairs)]
+    out = []
+    for way in (rng.normal(size=a.shape), sample[rng.integers(len(sample), size=pairs)]):
+        way = way - (way * a).sum(axis=1, keepdims=True) * a
+        length = np.linalg.norm(way, axis=1, keepdims=True)
+        some = length[:, 0] > 1e-6
+        if some.any():
+            out.append((a[some], threshold * a[some] + math.sqrt(1 - threshold * threshold) * (way / np.maximum(length, 1e-6))[some]))
+    return out
+
+
+def fit_for(sample: np.ndarray, bits: int, tables: int, threshold: float, recall: float) -> Quantiser:
+    """A quantiser under which pairs at the threshold are measured to meet; more tables, or fewer bits, until they do."""
+    tests = pairs_at(sample, threshold)
+    while True:
+        q = fit(sample, bits, tables)
+        met = min(((q.codes(a) == q.codes(b)).any(axis=1).mean() for a, b in tests), default=1.0)
+        if met >= recall:
+            return q
+        more = math.ceil(tables * max(1.1, math.log(1 - recall) / math.log(1 - max(met, 0.01))))
+        if more > TABLES and bits > 1:
+            bits -= 1
+        else:
+            tables = more
+
+
 def unit_vectors(column: pa.Array, width: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Which rows are usable, and those rows scaled to length 1."""
     lists = [x if x is not None and len(x) and None not in x and (width is None or len(x) == width) else None for x in column.to_pylist()]
@@ -212,7 +245,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, sample: int = SA
     chosen = units.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select("vec_id", "unit").collect()
     chosen.sort(key=lambda r: (r["vec_id"], bytes(r["unit"])))
     rows = np.array([np.frombuffer(r["unit"], np.float64) for r in chosen]).reshape(len(chosen), widths["w"])
-    found = cut(neighbours(tables_of(units, fit(apart(rows, threshold), bits, tables)), threshold, bits)) if len(rows) else None
+    q = fit_for(apart(rows, threshold), bits, tables, threshold, recall) if len(rows) else None
+    found = cut(neighbours(tables_of(units, q), threshold, q.bits)) if q else None
     own = vectors.select("vec_id")
     if found is None:
         return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

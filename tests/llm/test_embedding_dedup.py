@@ -46,3 +46,23 @@ def test_edges(spark):
     assert [tuple(r) for r in ed.near_duplicates(nothing).collect()] == [(1, 0, 1, True)]
     bits, tables = ed.plan(50_000, 0.9)
     assert bits == 12 and 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** tables >= 0.97
+
+
+def test_recall_with_a_strong_common_mean(spark):
+    rng = np.random.default_rng(7)
+    width, share = 48, 0.7
+    common = np.eye(width)[0] * np.sqrt(share)
+    a = rng.normal(size=(1500, width - 1))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    w = rng.normal(size=a.shape)
+    w -= (w * a).sum(axis=1, keepdims=True) * a
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    c = (0.902 - share) / (1 - share)
+    own = np.concatenate([a, c * a + np.sqrt(1 - c * c) * w]) * np.sqrt(1 - share)
+    x = np.concatenate([np.zeros((len(own), 1)), own], axis=1) + common
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    links = sum(r["n_links"] for r in ed.near_duplicates(df).collect())
+    assert near.sum() >= 3000 and 0.9 * near.sum() <= links <= near.sum()

@@ -42,6 +42,8 @@ LETTERS = bytekit.byte_set([(0x20, 0x20), (0x09, 0x0D)])
 DEALS = 4
 #: Groups of the count vectors, and documents of a block that are compared at once.
 GROUPS, PIECE = 64, 256
+#: Where counts of a vector end.
+CLIP = 65535
 #: Rounds with a random document of each open block before its tree is built; they only save work.
 ROUNDS = 3
 #: Members that one copy of a centre's text is verified against.
@@ -131,7 +133,7 @@ def block_keys(flat: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.nd
 def count_vectors(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     own = np.repeat(np.arange(len(sizes)), sizes)
     group = (bytekit.mix(flat + U64(99)) >> U64(40)).astype(np.int64) % GROUPS
-    return np.bincount(own * GROUPS + group, minlength=len(sizes) * GROUPS).reshape(len(sizes), GROUPS).clip(max=65535).astype(np.uint16)
+    return np.bincount(own * GROUPS + group, minlength=len(sizes) * GROUPS).reshape(len(sizes), GROUPS).clip(max=CLIP).astype(np.uint16)
 
 
 class RTree:
@@ -160,7 +162,9 @@ class RTree:
             for a in range(0, len(asked), 1 << 14):
                 q, n = asked[a:a + (1 << 14)], node[a:a + (1 << 14)]
                 least = np.maximum(low[n], -(-percent * sizes[q] // 100))
-                fit[a:a + (1 << 14)] = np.minimum(points[q], high[n]).sum(axis=1, dtype=np.int64) >= need(sizes[q], least, percent)
+                shared = np.minimum(points[q], high[n])
+                # a clipped count bounds nothing
+                fit[a:a + (1 << 14)] = (shared.sum(axis=1, dtype=np.int64) >= need(sizes[q], least, percent)) | (shared == CLIP).any(axis=1)
                 if depth == 0:
                     fit[a:a + (1 << 14)] &= low[n] * 100 <= sizes[q] * 100 * 100 // percent
             asked, node = asked[fit], node[fit]

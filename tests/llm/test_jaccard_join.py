@@ -99,3 +99,11 @@ def test_tree_finds_all_within_the_bound():
             if 100 * both >= 85 * (sizes[i] + sizes[j] - both):
                 assert (i, j) in got
     assert len(got) < len(sizes) * 12
+
+
+def test_tree_keeps_pairs_whose_counts_are_clipped():
+    flat = np.random.default_rng(8).integers(0, 1 << 63, 5_000_000).astype(np.uint64)
+    sizes = np.array([len(flat)])
+    points = jj.count_vectors(flat, sizes)
+    asked, found = jj.RTree(points, sizes).search(points, sizes, 80)
+    assert (asked.tolist(), found.tolist()) == ([0], [0])

@@ -96,7 +96,7 @@ def scan(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) ->
     table = "cast(split('" + ",".join(f"{x:g}" for x in ratios) + "', ',') as array<float>)"
     score = f"""element_at(transform(array(split(x.value, '')), c -> aggregate(sequence(1, size(c) - 1), 0D, (s, i) ->
         s + element_at({table}, 1 + ascii(c[i - 1]) * 128 + ascii(c[i]))) / (size(c) - 1)), 1)"""
-    found = {**base_spans(), "random": spans("random", CANDIDATE, "x.`2` rlike '[0-9]'")}
+    found = {**base_spans(), "random": spans("random", CANDIDATE)}
     rows = texts(docs).withColumns({k: F.expr(v) for k, v in found.items()})
     keep = F.expr(f"filter(random, x -> {score} > {threshold})")
     every = F.concat("assign", "access", "hex", keep)

@@ -41,3 +41,16 @@ def test_models_tell_random_from_ordinary(spark):
     out = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in scan.scan(spark.createDataFrame(new, "doc_id long, text string"), ratios).collect()}
     assert sum("random" in out[i] for i in range(100)) >= 95
     assert sum("random" in out[1000 + i] for i in range(100)) <= 5
+
+
+def test_random_letters_without_a_digit(spark):
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    noise = lambda n: "".join(rng.choice(letters + "0123456789") for _ in range(n))
+    ordinary = ["configuration_directory", "temperature-controller", "internationalisation", "administrator_account", "documentation-section"]
+    docs = [(i, f"token = {noise(30)} then " + " ".join(rng.sample(ordinary, 3))) for i in range(300)]
+    ratios = scan.train(spark.createDataFrame(docs, "doc_id long, text string"))
+    new = [(i, "".join(rng.choice(letters) for _ in range(16))) for i in range(100)] + [(1000 + i, f"{rng.choice(ordinary)}_{rng.choice(ordinary)}") for i in range(100)]
+    out = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in scan.scan(spark.createDataFrame(new, "doc_id long, text string"), ratios).collect()}
+    assert sum("random" in out[i] for i in range(100)) >= 75
+    assert sum("random" in out[1000 + i] for i in range(100)) <= 5

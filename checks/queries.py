@@ -330,13 +330,13 @@ def resolve_calls(spark, sf):
 @query
 def calls_from(spark, sf):
     nodes, _ = nodes_and_edges(spark, sf)
-    return graph.calls_from(nodes, I.elements(spark, sf), graph.nodes_of_kind(nodes, "call").filter("start_row < 20"))
+    return graph.calls_from(nodes, I.elements(spark, sf), graph.nodes_of_kind(nodes, "call"))
 
 
 @query
 def callers_of(spark, sf):
     nodes, _ = nodes_and_edges(spark, sf)
-    return graph.callers_of(nodes, I.elements(spark, sf), graph.nodes_of_kind(nodes, "function").filter("start_row < 20"))
+    return graph.callers_of(nodes, I.elements(spark, sf), graph.nodes_of_kind(nodes, "function"))
 
 
 @query

@@ -122,9 +122,14 @@ LOWER[65:91] += 32
 
 def words(texts: Texts, letters: np.ndarray) -> Words:
     """Maximal runs of bytes whose flag in ``letters`` is set, within each text."""
+    return runs(texts, letters[texts.data])
+
+
+def runs(texts: Texts, flags: np.ndarray) -> Words:
+    """Maximal runs of places whose flag is set, within each text."""
     n = len(texts.data)
     inside = np.zeros(n + 2, np.int8)
-    inside[1:-1] = letters[texts.data]
+    inside[1:-1] = flags
     step = np.diff(inside)
     opens, closes = step[:-1] == 1, step[1:] == -1
     edges = texts.starts[(texts.sizes > 0) & (texts.starts > 0)]

@@ -3,11 +3,13 @@
 A text is split by a pattern and each match is encoded by itself. Its bytes are read as Latin-1
 text, so that an Aho-Corasick automaton over the vocabulary gives the longest token at every
 place. Encoding goes on from longest token to longest token and steps back to a shorter one only
-where two neighbours could not stand side by side in the result of the merges. Whether they can
-is read off the two tokens' own last merges, once for each pair, so the work is linear in the
-text and the ids are those of the merges.
+where two neighbours could not stand side by side in the result of the merges. Whether they can is
+found once for each pair, by merging the bytes of the two, so the work is linear in the text and the
+ids are those of the merges.
 
-Rows are independent: no shuffle, and a lost task is run again from its input.
+Rows are independent: no shuffle, and a lost task is run again from its input. Both directions
+run in one Python worker of a task. What it remembers of texts is bounded in bytes and
+forgotten at the end of the task; tables of the vocabulary stay.
 
 Contracts. A null text is an empty one: no ids, an empty packed column. Texts of any length are
 encoded whole. Repeated rows give repeated results. Columns of the input stay as they are; where
@@ -32,8 +34,12 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from srcatlas.llm import bytekit
 
-#: Distinct stretches of text whose ids a worker remembers, and pairs of tokens; beyond it they are forgotten.
-REMEMBERED = 250_000
+#: Bytes that a worker spends on stretches of text it remembers, and pairs of tokens; beyond it they are forgotten.
+REMEMBERED_BYTES, REMEMBERED_PAIRS = 24 << 20, 150_000
+#: What an entry takes beside its own bytes, about.
+ENTRY_BYTES = 200
+#: Bytes of text that are handed on at once.
+PART_BYTES = 2 << 20
 #: White space as the split pattern means it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Cuts a text where no match of the usual split patterns goes on: before a blank and a visible
@@ -42,69 +48,69 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 STRETCHES = rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
 
-class Codec:
-    """Encoder and decoder of one rank file (a base64 token and its rank per line)."""
+class Decoder:
+    """Bytes of the ids of a rank file (a base64 token and its rank per line)."""
 
-    def __init__(self, rank_file: bytes, pattern: str, stretches: str | None = STRETCHES):
-        """``stretches``: None for a pattern whose matches may run from visible into white space."""
+    def __init__(self, rank_file: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.split = regex.compile(pattern).findall
-        self.stretches = re.compile(stretches).findall if stretches else lambda text: [text]
         self.sizes = [len(t) for t in self.tokens]
         self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.size_of = np.array(self.sizes, np.int64)
         self.place_of = np.cumsum(self.size_of) - self.size_of
-        self.known: dict[str, bytes] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.merged: dict[tuple[int, int], int] = {}
-        self.parts = [(r, r) for r in range(len(self.tokens))]
-        self.shorter = [-1] * len(self.tokens)
-        self.automaton = ahocorasick.Automaton()
-        self._learn()
 
-    def _learn(self) -> None:
-        """The last merge of every token, lower ranks first, and its longest shorter prefix."""
+    def decode(self, packed: bytes) -> bytes:
+        ids = np.frombuffer(packed, "<u4").astype(np.int64)
+        sizes = self.size_of[ids]
+        return self.flat[np.repeat(self.place_of[ids], sizes) + bytekit.ranges(sizes)].tobytes()
+
+    def forget(self) -> None:
+        """Nothing is remembered."""
+
+
+class Codec(Decoder):
+    """Encoder and decoder of one rank file."""
+
+    def __init__(self, rank_file: bytes, pattern: str, stretches: str | None = STRETCHES):
+        """``stretches``: None for a pattern whose matches may run from visible into white space."""
+        super().__init__(rank_file)
+        self.split = regex.compile(pattern).findall
+        self.stretches = re.compile(stretches).findall if stretches else lambda text: [text]
         ranks = self.ranks
-        for rank, token in enumerate(self.tokens):
-            if not token:
-                continue
+        #: The longest token that a token begins with, beside itself.
+        self.shorter = [next((ranks[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in ranks), -1) for t in self.tokens]
+        self.automaton = ahocorasick.Automaton()
+        for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
-            self.shorter[rank] = next((ranks[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in ranks), -1)
-            for k in range(1, len(token)):
-                left, right = ranks.get(token[:k], rank), ranks.get(token[k:], rank)
-                if left < rank and right < rank and self._side_by_side(left, right):
-                    self.parts[rank] = (left, right)
-                    self.merged[left, right] = rank
-                    break
         self.automaton.make_automaton()
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.fits: dict[int, bool] = {}
+        self.held = 0
 
     def _side_by_side(self, a: int, b: int) -> bool:
-        """Whether merging the bytes of a and b leaves just a and b.
-
-        Undo the merges at the border, latest first: at every moment the two tokens that touch
-        must not have merged before the next of them was taken up by its own side. Of equal
-        merges the left one came first.
-        """
-        merged, parts, before = self.merged, self.parts, len(self.parts)
-        while True:
-            if merged.get((a, b), before) < before:
+        """Whether merging the bytes of a and b, the adjacent pair of the lowest rank first, leaves just a and b."""
+        rank, none = self.ranks.get, len(self.tokens)
+        piece, left = self.tokens[a] + self.tokens[b], self.sizes[a]  # ``left``: parts that a is in so far
+        parts = [piece[i:i + 1] for i in range(len(piece))]
+        pairs = [rank(piece[i:i + 2], none) for i in range(len(piece) - 1)]
+        while len(parts) > 2:
+            lowest = min(pairs)
+            at = pairs.index(lowest)
+            if lowest == none or at == left - 1:  # nothing goes on, or over the border
                 return False
-            if a > b:
-                inner, before = parts[a][1], a
-                if inner == a:
-                    return True
-                a = inner
-            else:
-                inner, before = parts[b][0], b + 1
-                if inner == b:
-                    if parts[a][1] == a:
-                        return True
-                    before, a = a, parts[a][1]
-                else:
-                    b = inner
+            left -= at < left
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], none)
+        return left == 1 and pairs[0] == none
 
     def ids_of(self, piece: bytes) -> list[int]:
         """The ids of one match of the pattern."""
@@ -127,10 +133,10 @@ class Codec:
                 if open_end[at + sizes[token]]:
                     if before < 0:
                         break
-                    pair = (before, token)
+                    pair = before << 32 | token
                     fit = fits.get(pair)
                     if fit is None:
-                        if len(fits) >= REMEMBERED:
+                        if len(fits) >= REMEMBERED_PAIRS:
                             fits.clear()
                         fit = fits[pair] = self._side_by_side(before, token)
                     if fit:
@@ -150,46 +156,42 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        known = self.known
         stretches = self.stretches(text)
-        out = list(map(known.get, stretches))
+        out = list(map(self.known.get, stretches))
         if None in out:
             for i, ids in enumerate(out):
                 if ids is None:
                     stretch = stretches[i]
-                    if (ids := known.get(stretch)) is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        ids = b"".join([self._piece(p) for p in self.split(stretch)])
+                    if (ids := self.known.get(stretch)) is None:
+                        pieces = self.split(stretch)
+                        ids = b"".join([array("I", self.ids_of(p.encode("utf-8"))).tobytes() for p in pieces])
                         if len(stretch) < 256:
-                            known[stretch] = ids
+                            self._remember(stretch, ids)
                     out[i] = ids
         return b"".join(out)
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.known.get(piece)
-        if ids is None:
-            ids = array("I", self.ids_of(piece.encode("utf-8"))).tobytes()
-            if len(piece) < 256:
-                self.known[piece] = ids
-        return ids
+    def _remember(self, stretch: str, ids: bytes) -> None:
+        if self.held >= REMEMBERED_BYTES:
+            self.known.clear()
+            self.held = 0
+        self.known[stretch] = ids
+        self.held += len(stretch) + len(ids) + ENTRY_BYTES
 
-    def decode(self, packed: bytes) -> bytes:
-        ids = np.frombuffer(packed, "<u4").astype(np.int64)
-        sizes = self.size_of[ids]
-        return self.flat[np.repeat(self.place_of[ids], sizes) + bytekit.ranges(sizes)].tobytes()
+
+_BUILT: dict[str, Decoder] = {}
 
 
-_CODECS: dict[str, Codec] = {}
+def _once(kind: type, rank_file: bytes, *more: str) -> Decoder:
+    """The codec or decoder of a rank file; a worker builds it once and keeps one."""
+    key = hashlib.sha256(b"\0".join([kind.__name__.encode(), rank_file, *(m.encode() for m in more)])).hexdigest()
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = kind(rank_file, *more)
+    return _BUILT[key]
 
 
 def codec(rank_file: bytes, pattern: str) -> Codec:
-    """The codec of a rank file; a worker builds it once."""
-    key = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(rank_file, pattern)
-    return _CODECS[key]
+    return _once(Codec, rank_file, pattern)
 
 
 def _widened(df: DataFrame, **fields) -> StructType:
@@ -206,44 +208,52 @@ def _parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
     """Batches cut into pieces of bounded bytes."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
-        for part in bytekit.chunks(texts, 8 << 20):
+        for part in bytekit.chunks(texts, PART_BYTES):
             first, n = int(part.rows[0]), len(part.rows)
             yield batch.slice(first, n), texts.slice(first, n)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", packed: str = "token_ids") -> DataFrame:
+def _sent(df: DataFrame, ranks_path: str):
+    """The rank file, read where the job is planned; its size is the vocabulary's."""
+    with open(ranks_path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", packed: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """Adds ``packed`` (ids of the text as little-endian 32-bit numbers) and ``n_tokens``.
 
-    The rank file is read where the job is planned and sent along; its size is the vocabulary's.
+    With ``decoded`` a column of that name holds the bytes that the ids stand for, read back in the same pass.
     """
-    with open(ranks_path, "rb") as f:
-        sent = df.sparkSession.sparkContext.broadcast(f.read())
-    schema = _widened(df, **{packed: BinaryType(), "n_tokens": LongType()})
+    sent = _sent(df, ranks_path)
+    schema = _widened(df, **{packed: BinaryType(), "n_tokens": LongType()}, **({decoded: BinaryType()} if decoded else {}))
 
     def run(batches):
         c = codec(sent.value, pattern)
-        for batch, texts in _parts(batches, text):
-            out = [c.encode(t) if t else b"" for t in texts.to_pylist()]
-            yield _with(batch, schema, **{packed: pa.array(out, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64())})
+        try:
+            for batch, texts in _parts(batches, text):
+                out = [c.encode(t) if t else b"" for t in texts.to_pylist()]
+                back = {decoded: pa.array([c.decode(x) for x in out], pa.binary())} if decoded else {}
+                yield _with(batch, schema, **{packed: pa.array(out, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64())}, **back)
+        finally:
+            c.forget()
 
     return df.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, ranks_path: str, pattern: str, packed: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, ranks_path: str, packed: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """Adds ``decoded``: the bytes that the packed ids stand for; null ids are no ids."""
-    with open(ranks_path, "rb") as f:
-        sent = df.sparkSession.sparkContext.broadcast(f.read())
+    sent = _sent(df, ranks_path)
     schema = _widened(df, **{decoded: BinaryType()})
 
     def run(batches):
-        c = codec(sent.value, pattern)
+        d = _once(Decoder, sent.value)
         for batch, ids in _parts(batches, packed):
-            yield _with(batch, schema, **{decoded: pa.array([c.decode(x or b"") for x in ids.to_pylist()], pa.binary())})
+            yield _with(batch, schema, **{decoded: pa.array([d.decode(x or b"") for x in ids.to_pylist()], pa.binary())})
 
     return df.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the packed ids and of what they decode to."""
-    out = decode(encode(docs.select("doc_id", "text"), ranks_path, pattern).drop("text"), ranks_path, pattern)
+    out = encode(docs.select("doc_id", "text"), ranks_path, pattern, decoded="decoded")
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -47,3 +47,17 @@ def test_frame(spark, library):
     assert sorted(map(tuple, out)) == want
     assert byte_bpe.encode(df, PATH, PATTERN).columns == ["doc_id", "text", "token_ids", "n_tokens"]
     assert byte_bpe.digests(df.limit(0), PATH, PATTERN).count() == 0
+    apart = byte_bpe.decode(byte_bpe.encode(df, PATH, PATTERN), PATH)
+    assert sorted((r["doc_id"], bytes(r["decoded"])) for r in apart.collect()) == sorted((i, (t or "").encode()) for i, t, _ in rows)
+
+
+def test_memory_is_bounded_and_given_back(codec, library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "REMEMBERED_BYTES", 5000)
+    monkeypatch.setattr(byte_bpe, "REMEMBERED_PAIRS", 20)
+    rng = random.Random(6)
+    for _ in range(50):
+        text = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 30))) for _ in range(40))
+        assert codec.encode(text) == packed(library.encode_ordinary(text))
+        assert codec.held <= 5000 + 600 and len(codec.fits) <= 20 and len(codec.known) < 40
+    codec.forget()
+    assert not codec.known and not codec.fits and not codec.held

@@ -13,12 +13,14 @@ the next class under the class's own number of groups. As empty groups say nothi
 groups than T + 1 by ``spare``; a document with more empty groups than that is dealt out again by
 another hash, and after ``DEALS`` of these by its empty groups, too, so no pair is lost.
 
-First every block offers the pairs of its smallest document with the others only. Where verified
-links make a block one component nothing is left to find. In the others a few rounds test a random
-document of the block against those of other components, and what then is still open is searched by
-R-tree for pairs across components, in pieces of ``PIECE`` documents against one another. So groups of copies
-cost one pair per copy, and no block is gathered in one task: entries of a block that meet in a
-task go on as one.
+Rows with equal sets become one first: all that follows works on one document of each distinct set. Then
+a few rounds use one key a document, the smallest block key under some salt, which near copies share with
+high probability; the documents of a key are tested against its smallest one and united. Only then
+are all block keys dealt out, with the component of each document, and only blocks that hold several
+components stay open. In these a few rounds test a random document against those of other components,
+and what then is still open is searched by R-tree for pairs across components, in pieces of ``PIECE``
+documents against one another. So groups of copies cost one pair per copy and round, and no block is
+gathered in one task.
 
 Contracts. Words are runs of bytes other than blank and 0x09-0x0D, A-Z in lower case. A text of
 fewer than ``k`` words is one shingle; null and wordless texts have none and link with nothing. Rows
@@ -44,6 +46,8 @@ DEALS = 4
 GROUPS, PIECE = 64, 256
 #: Where counts of a vector end.
 CLIP = 65535
+#: Rounds with one key a document before all block keys are dealt out; they only save work.
+LEADS = 3
 #: Rounds with a random document of each open block before its tree is built; they only save work.
 ROUNDS = 3
 #: Members that one copy of a centre's text is verified against.
@@ -175,9 +179,8 @@ class RTree:
         return asked, self.order[node]
 
 
-def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """n_shingles and a 128-bit digest of the set of each row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """n_shingles, a 128-bit digest of the set (d1, d2) and its smallest block keys (keys) of each row (doc_id, text)."""
 
     def run(batches):
         for batch in batches:
@@ -188,43 +191,19 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
                     sums = np.zeros(len(flat) + 1, U64)
                     np.cumsum(bytekit.mix(flat + salt), out=sums[1:])
                     digest.append(pa.array((sums[ends] - sums[ends - sizes]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sizes), *digest], ["doc_id", "n_shingles", "d1", "d2"])
+                blocks, owners = block_keys(flat, sizes, percent)
+                least = np.full((len(sizes), LEADS), np.iinfo(np.uint64).max, U64)
+                for lead in range(LEADS):
+                    np.minimum.at(least[:, lead], owners, bytekit.mix(blocks + U64(1000 + lead)))
+                keys = bytekit.list_array(least.view(np.int64).ravel(), np.full(len(sizes), LEADS), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sizes), *digest, keys], ["doc_id", "n_shingles", "d1", "d2", "keys"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, d1 long, d2 long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
 
 
-def _packed(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """Block keys with doc_ids, packed by bucket."""
-
-    def rows(packer):
-        out = list(packer.flush())
-        for i in range(0, len(out), 64):
-            columns = list(zip(*out[i:i + 64]))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["bucket", "keys", "ids"])
-
-    def run(batches):
-        packer = sieve.Packer(buckets)
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, flat, sizes in sets(batch.column(1), k):
-                keys, owners = block_keys(flat, sizes, percent)
-                if packer.add(keys, ids[at][owners]):
-                    yield from rows(packer)
-        yield from rows(packer)
-
-    return docs.mapInArrow(run, "bucket int, keys binary, ids binary")
-
-
-def star_pairs(packed: DataFrame) -> DataFrame:
-    """(a, b): the smallest document of each block with each other one, or with one of a task."""
-
-    def run(batches):
-        for keys, ids, ready in sieve.packed_buckets(batches):
-            pairs = np.concatenate([sieve.stars(keys, ids)[2], ready])
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
-
-    return sieve.by_bucket(packed).mapInArrow(run, "a long, b long").where("a <> b").distinct()
+def _some(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose doc_id may be wanted: all that are, few others; their texts do not leave the JVM."""
+    return sieve.maybe(docs, "doc_id", wanted.select("doc_id")).where("maybe").drop("maybe")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -236,7 +215,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / FAN)).alias("part"))
     wanted = dealt.select(F.col("b").alias("doc_id"), "a", "part", F.lit(1).alias("side")).unionByName(
         dealt.select("a", "part").distinct().select(F.col("a").alias("doc_id"), "a", "part", F.lit(0).alias("side")))
-    texts = sieve.sift(docs, "doc_id", wanted.select("doc_id")).join(wanted, "doc_id")
+    texts = _some(docs, wanted).join(wanted, "doc_id")
     rows = texts.select("a", "part", "side", "doc_id", "text").repartition("a", "part").sortWithinPartitions("a", "part", "side", "doc_id")
 
     def run(batches):
@@ -359,47 +338,52 @@ def _united(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(joined, "component", "left").select("doc_id", F.coalesce("top", "component").alias("component"))
 
 
+def _representatives(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of written profiles: (doc_id, keys) of one document for each distinct set, and (doc_id, rep) of every row with a set."""
+    some = own.where("doc_id is not null and n_shingles > 0")
+    reps = cut(some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys")))
+    return reps.select(F.col("rep").alias("doc_id"), "keys"), some.join(reps.drop("keys"), ["n_shingles", "d1", "d2"]).select("doc_id", "rep")
+
+
+def _tested(pairs: DataFrame, labels: DataFrame, tested: DataFrame | None, known: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All pairs tested so far, and the labels united by the links among new ones."""
+    fresh = pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    now = cut(verified(cut(fresh), known, k, percent))
+    return now if tested is None else tested.unionByName(now), cut(_united(labels, now.where("linked")))
+
+
 def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every row (the smallest doc_id reachable by links)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = cut(profiles(texts, k))
+    own = cut(profiles(texts, k, percent))
+    reps, rows = _representatives(own)
+    rows = cut(rows)
     known = texts.where("doc_id is not null")
-    buckets = sieve.bucket_count(docs)
-    pairs = cut(star_pairs(_packed(known, k, percent, buckets)))
-    digest = own.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n_shingles", "d1", "d2")).alias("low"), F.max(F.struct("n_shingles", "d1", "d2")).alias("high"))
-    same = (
-        pairs.join(digest.select(F.col("doc_id").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha")), "a")
-        .join(digest.select(F.col("doc_id").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb")), "b")
-        .select("a", "b", ((F.col("la") == F.col("ha")) & (F.col("lb") == F.col("hb")) & (F.col("la") == F.col("lb"))).alias("copy"))
-    )
-    told = cut(same)
-    tested = cut(verified(told.where("not copy").select("a", "b"), known, k, percent))
-    links = told.where("copy").select("a", "b").unionByName(tested.where("linked").select("a", "b"))
-    found = cut(components(links))
-    apart = (
-        tested.where("not linked").join(_label(found, "a"), "a", "left").join(_label(found, "b"), "b", "left")
-        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    )
-    if not apart.isEmpty():
-        met = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        labels = cut(met.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")))
-        again = sieve.sift(known, "doc_id", met).join(labels, "doc_id")
-        members = cut(block_members(again, k, percent, buckets).distinct())
-        for turn in range(ROUNDS):
-            centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "component")).alias("c"))
-            star = members.join(centre, "key").where("component <> c.component").select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
-            now = cut(verified(star.join(tested.select("a", "b"), ["a", "b"], "left_anti"), known, k, percent))
-            tested = tested.unionByName(now)
-            labels = cut(_united(labels, now.where("linked")))
-            fresh = members.drop("component").join(labels, "doc_id")
-            still = fresh.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-            members = cut(fresh.join(still, "key", "left_semi").select("key", "doc_id", "component"))
-        wanted = members.select("doc_id").distinct()
-        points = cut(vectors(sieve.sift(known, "doc_id", wanted).join(wanted, "doc_id", "left_semi"), k))
-        more = cut(tree_pairs(members, points, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        labels = _united(labels, verified(more, known, k, percent).where("linked"))
-        found = labels.withColumnRenamed("doc_id", "id")
-    return own.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # rows of one doc_id are one document, whatever their sets
+    several = rows.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    links = rows.join(several.select("doc_id", "low"), "doc_id").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    labels = cut(_united(reps.select("doc_id", F.col("doc_id").alias("component")).distinct(), links))
+    tested = None
+    for lead in range(LEADS):
+        members = reps.select("doc_id", F.col("keys")[lead].alias("key")).join(labels, "doc_id")
+        centre = members.groupBy("key").agg(F.min(F.struct("doc_id", "component")).alias("c"), F.max("component").alias("high")).where("c.component < high").drop("high")
+        star = members.join(centre, "key").where("component <> c.component").select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        tested, labels = _tested(star, labels, tested, known, k, percent)
+    wanted = reps.select("doc_id").distinct()
+    again = _some(known, wanted).join(labels, "doc_id")
+    members = cut(block_members(again, k, percent, sieve.bucket_count(docs)).distinct())
+    for turn in range(ROUNDS):
+        centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "component")).alias("c"))
+        star = members.join(centre, "key").where("component <> c.component").select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
+        tested, labels = _tested(star, labels, tested, known, k, percent)
+        fresh = members.drop("component").join(labels, "doc_id")
+        still = fresh.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        members = cut(fresh.join(still, "key", "left_semi").select("key", "doc_id", "component"))
+    wanted = members.select("doc_id").distinct()
+    points = cut(vectors(_some(known, wanted).join(wanted, "doc_id", "left_semi"), k))
+    _, labels = _tested(tree_pairs(members, points, percent), labels, tested, known, k, percent)
+    found = rows.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(labels.withColumnRenamed("doc_id", "rep"), "rep").select("doc_id", "component")
+    return own.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def distinct(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:

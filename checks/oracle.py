@@ -367,6 +367,10 @@ ep AS (SELECT repo, name, path AS file, start_row + 1 AS line, node_id FROM nid
 _NEIGHBOUR = """ SELECT repo, of, node_id, kind, name, file, language, start_row, start_col, end_row, end_col
     FROM (SELECT repo, {0} AS of, {1} AS node_id FROM ed WHERE kind = 'calls') x JOIN no USING (repo, node_id)"""
 
+_STORED = """, ask AS (SELECT DISTINCT repo, node_id FROM no WHERE kind = '{0}' ORDER BY node_id, repo LIMIT 25)
+    SELECT x.repo, x.{1} AS "of", x.{2} AS node_id, n.name, n.file AS path, n.start_row
+    FROM ed x JOIN ask ON ask.repo = x.repo AND ask.node_id = x.{1} JOIN no n ON n.repo = x.repo AND n.node_id = x.{2} WHERE x.kind = 'calls'"""
+
 
 _RUN_BASE = f"WITH {_templated()}, el AS (SELECT * FROM tx), fi AS (SELECT DISTINCT repo, path, language FROM tf)"
 _RUN = f"{_RUN_BASE}, nid AS (SELECT *, {_NODE_ID} AS node_id FROM el), {FINDINGS.split('FROM el),', 1)[1]},{MERGED_ONLY},{_numbered('me')}"
@@ -475,6 +479,11 @@ def statements() -> dict[str, str]:
         "nodes_of_kind": f"{_GRAPH} SELECT * FROM no WHERE kind = 'import'",
         "functions_by_name": f"{_GRAPH} SELECT * FROM no WHERE kind = 'function' AND name = 'main_0'",
         "strings_containing": f"{_GRAPH} SELECT * FROM no WHERE kind = 'string' AND contains(name, '% v')",
+        "strings_containing_patterns": f"""{_GRAPH}, ss AS (SELECT repo, node_id, name FROM no WHERE kind = 'string'),
+            pt AS (SELECT DISTINCT unnest(['', substr(name, 3, 1), substr(name, 3, 2), substr(name, 4, 3), substr(name, 2, 9), name]) AS pattern FROM ss UNION SELECT n_name FROM nation)
+            SELECT pattern, repo, node_id FROM pt JOIN ss ON contains(name, pattern)""",
+        "stored_calls_from": _GRAPH + _STORED.format("call", "src", "dst"),
+        "stored_callers_of": _GRAPH + _STORED.format("function", "dst", "src"),
         "graph_stats": f"{_GRAPH},{_STATS} SELECT * FROM gs",
         "repo_summary": f"""{_GRAPH},{_STATS}
             SELECT repo, measure, value FROM (UNPIVOT gs ON files, functions, calls, imports, strings, resolved_calls INTO NAME measure VALUE value)

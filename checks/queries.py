@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from checks import inputs as I
 from srcatlas import rules
 from srcatlas.functions import columns as C
-from srcatlas.operators import detection, extraction, graph, numbering, summary
+from srcatlas.operators import detection, extraction, graph, lookups, numbering, summary
 from srcatlas.plans import scan, understand
 from srcatlas.session import new_shared_path
 from srcatlas.sinks import findings_json, html, markdown, sarif
@@ -375,6 +375,36 @@ def strings_containing(spark, sf):
     return graph.strings_containing(nodes_and_edges(spark, sf)[0], "% v")
 
 
+@query
+def strings_containing_patterns(spark, sf):
+    """Parts of the strings' own texts, of several lengths, and names that are in none of them."""
+    nodes, path = nodes_and_edges(spark, sf)[0], new_shared_path(spark, "strings")
+    lookups.write_string_index(nodes, path)
+    parts = F.expr("array('', substring(name, 3, 1), substring(name, 3, 2), substring(name, 4, 3), substring(name, 2, 9), name)")
+    patterns = nodes.filter("kind = 'string'").select(F.explode(parts).alias("pattern")).unionByName(I.table(spark, sf, "nation").select(F.col("n_name").alias("pattern")))
+    return lookups.strings_containing(spark, path, patterns).select("pattern", "repo", "node_id")
+
+
+def _asked(spark, sf, kind):
+    """A stored code base, and the first ids of a kind in it."""
+    nodes, path = nodes_and_edges(spark, sf)[0], new_shared_path(spark, "elements")
+    lookups.write_elements(I.elements(spark, sf), path)
+    ids = graph.nodes_of_kind(nodes, kind).select("repo", "node_id").distinct().orderBy("node_id", "repo").limit(25)
+    return lookups.read_elements(spark, path), [tuple(r) for r in ids.collect()]
+
+
+@query
+def stored_calls_from(spark, sf):
+    """The 25 first calls by id are asked for."""
+    return lookups.calls_from(*_asked(spark, sf, "call")).select("repo", "of", "node_id", "name", "path", "start_row")
+
+
+@query
+def stored_callers_of(spark, sf):
+    """The 25 first functions by id are asked for."""
+    return lookups.callers_of(*_asked(spark, sf, "function")).select("repo", "of", "node_id", "name", "path", "start_row")
+
+
 @query
 def graph_stats(spark, sf):
     return graph.graph_stats(I.files(spark, sf), I.elements(spark, sf))

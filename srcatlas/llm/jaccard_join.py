@@ -16,10 +16,9 @@ another hash, and after ``DEALS`` of these by its empty groups, too, so no pair
 Rows with equal sets become one first: all that follows works on one document of each distinct set. Then
 a few rounds use one key a document, the smallest block key under some salt, which near copies share with
 high probability; the documents of a key are tested against its smallest one and united. Only then
-are all block keys dealt out, with the component of each document, and only blocks that hold several
-components stay open. In these a few rounds test a random document against those of other components,
+are all block keys dealt out, and only blocks that hold several components stay open. In these a few rounds test a random document against those of other components,
 and what then is still open is searched by R-tree for pairs across components, in pieces of ``PIECE``
-documents against one another. So groups of copies cost one pair per copy and round, and no block is
+documents: those outside of the block's largest component against all. So groups of copies cost one pair per copy and round, and no block is
 gathered in one task.
 
 Contracts. Words are runs of bytes other than blank and 0x09-0x0D, A-Z in lower case. A text of
@@ -245,28 +244,28 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
 
 def block_members(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """(key, doc_id) of blocks with documents of different components; docs has doc_id, text, component."""
+    """(key, doc_id) of the blocks that hold several documents; docs has doc_id and text."""
 
     def out_of(packs):
         for i in range(0, len(packs), 64):
             columns = list(zip(*packs[i:i + 64]))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], ["bucket", "keys", "ids", "labels"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], ["bucket", "keys", "ids"])
 
     def deal(batches):
         held, n = [], 0
 
         def flush():
-            keys, ids, labels = (np.concatenate(x) for x in zip(*held))
+            keys, ids = (np.concatenate(x) for x in zip(*held))
             bucket = (keys >> U64(32)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            return [(int(bucket[order[a]]), keys[order[a:b]].tobytes(), ids[order[a:b]].tobytes(), labels[order[a:b]].tobytes()) for a, b in zip(edges, np.append(edges[1:], len(keys)))]
+            return [(int(bucket[order[a]]), keys[order[a:b]].tobytes(), ids[order[a:b]].tobytes()) for a, b in zip(edges, np.append(edges[1:], len(keys)))]
 
         for batch in batches:
-            ids, labels = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, flat, sizes in sets(batch.column(1), k):
                 keys, owners = block_keys(flat, sizes, percent)
-                held.append((keys, ids[at][owners], labels[at][owners]))
+                held.append((keys, ids[at][owners]))
                 n += len(keys)
                 if n >= 300_000:
                     yield from out_of(flush())
@@ -274,21 +273,22 @@ def block_members(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFr
         if held:
             yield from out_of(flush())
 
-    def open_only(batches):
+    def shared_only(batches):
         for group in sieve.grouped(batches, 1):
-            keys, ids, labels = (np.concatenate([np.frombuffer(x, t) for x in group.column(i).to_pylist()]) for i, t in ((1, U64), (2, np.int64), (3, np.int64)))
-            order = np.lexsort((labels, keys))
-            keys, ids, labels = keys[order], ids[order], labels[order]
+            keys, ids = (np.concatenate([np.frombuffer(x, t) for x in group.column(i).to_pylist()]) for i, t in ((1, U64), (2, np.int64)))
+            order = np.lexsort((ids, keys))
+            keys, ids = keys[order], ids[order]
             if not len(keys):
                 continue
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             last = np.append(first[1:], len(keys)) - 1
-            mixed = np.repeat(labels[first] != labels[last], last - first + 1)
-            if mixed.any():
-                yield pa.RecordBatch.from_arrays([pa.array(keys[mixed].view(np.int64)), pa.array(ids[mixed]), pa.array(labels[mixed])], ["key", "doc_id", "component"])
+            several = np.repeat(ids[first] != ids[last], last - first + 1)
+            several[1:] &= (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+            if several.any():
+                yield pa.RecordBatch.from_arrays([pa.array(keys[several].view(np.int64)), pa.array(ids[several])], ["key", "doc_id"])
 
-    packed = docs.select("doc_id", "text", "component").mapInArrow(deal, "bucket int, keys binary, ids binary, labels binary")
-    return sieve.by_bucket(packed).mapInArrow(open_only, "key long, doc_id long, component long")
+    packed = docs.select("doc_id", "text").mapInArrow(deal, "bucket int, keys binary, ids binary")
+    return sieve.by_bucket(packed).mapInArrow(shared_only, "key long, doc_id long")
 
 
 def vectors(docs: DataFrame, k: int) -> DataFrame:
@@ -302,19 +302,27 @@ def vectors(docs: DataFrame, k: int) -> DataFrame:
 
 
 def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a block and of different components whose count vectors allow a link."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
-    rows = members.join(sizes, "key").join(points, "doc_id").withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces")))
-    spread = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"), "piece", "doc_id", "component", "n", "point")
-    spread = spread.select("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), (F.col("piece") <= F.col("other")).alias("left"), (F.col("piece") >= F.col("other")).alias("right"), "doc_id", "component", "n", "point")
-    spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
+    """Pairs (a, b) of a block and of different components whose count vectors allow a link.
+
+    Nothing is left to find within a block's largest component. So its members outside of that one are asked
+    for, in pieces, against pieces of all members: a large component with a few other documents costs one
+    row for each of its own.
+    """
+    counts = members.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("largest"))
+    sizes = counts.select("key", F.col("largest.component").alias("largest"), F.ceil(F.col("n") / PIECE).alias("pieces"), F.ceil((F.col("n") - F.col("largest.n")) / PIECE).alias("parts"))
+    rows = members.join(sizes, "key").join(points, "doc_id").withColumns({"i": F.pmod(F.xxhash64("doc_id"), F.col("pieces")), "j": F.pmod(F.xxhash64("doc_id"), F.col("parts"))})
+    columns = ["doc_id", "component", "n", "point"]
+    every = rows.select("key", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), F.lit(False).alias("asked"), *columns)
+    asked = rows.where("component <> largest").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("i"), "j", F.lit(True).alias("asked"), *columns)
+    spread = every.unionByName(asked).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
 
     def run(batches):
         for group in sieve.grouped(batches, 3):
-            left, right = (group.column(i).to_numpy() for i in (3, 4))
-            ids, labels, sizes = (group.column(i).to_numpy() for i in (5, 6, 7))
-            points = np.frombuffer(b"".join(group.column(8).to_pylist()), np.uint16).reshape(-1, GROUPS)
-            l, r = np.flatnonzero(left), np.flatnonzero(right)
+            left = group.column(3).to_numpy()
+            ids, labels, sizes = (group.column(i).to_numpy() for i in (4, 5, 6))
+            points = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint16).reshape(-1, GROUPS)
+            l, r = np.flatnonzero(left), np.flatnonzero(~left)
             if not len(l) or not len(r):
                 continue
             asked, found = RTree(points[r], sizes[r]).search(points[l], sizes[l], percent)
@@ -370,8 +378,9 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         star = members.join(centre, "key").where("component <> c.component").select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
         tested, labels = _tested(star, labels, tested, known, k, percent)
     wanted = reps.select("doc_id").distinct()
-    again = _some(known, wanted).join(labels, "doc_id")
-    members = cut(block_members(again, k, percent, sieve.bucket_count(docs)).distinct())
+    shared = cut(block_members(_some(known, wanted), k, percent, sieve.bucket_count(docs))).join(labels, "doc_id")
+    mixed = shared.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    members = cut(shared.join(mixed, "key", "left_semi").select("key", "doc_id", "component"))
     for turn in range(ROUNDS):
         centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "component")).alias("c"))
         star = members.join(centre, "key").where("component <> c.component").select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()

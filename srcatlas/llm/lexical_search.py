@@ -348,7 +348,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     if not corpus[0] or not size:
         return empty
     statistics = Statistics(*corpus)
-    wanted = terms.select("term").distinct()
+    wanted = cut(terms.select("term").distinct())  # of known size: where it is small the index is not shuffled
     counts = index.join(wanted, "term").groupBy("term").agg(F.sum("df").alias("df"))
     rarity = F.lit(2 * statistics.documents + 2).cast("double") / (2 * F.col("df") + 1)
     weights = cut(counts.select("term", F.floor(1000 * F.log(rarity)).cast("long").alias("weight")))
@@ -358,7 +358,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
         own = terms.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).join(weights.where("weight > 0"), "term")
         queries = [tuple(r) for r in own.groupBy("item_id").agg(F.collect_list("term")).collect()]
         if queries:
-            asked = own.select("term", "weight").distinct().unionByName(index.sparkSession.createDataFrame([("", 0)], "term string, weight long"))
+            asked = cut(own.select("term", "weight").distinct().unionByName(index.sparkSession.createDataFrame([("", 0)], "term string, weight long")))
             out = out.unionByName(_best(index.join(asked, "term"), queries, item, statistics, k))
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")

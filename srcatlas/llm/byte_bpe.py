@@ -4,12 +4,12 @@ A text is split by a pattern and each match is encoded by itself. Its bytes are
 text, so that an Aho-Corasick automaton over the vocabulary gives the longest token at every
 place. Encoding goes on from longest token to longest token and steps back to a shorter one only
 where two neighbours could not stand side by side in the result of the merges. Whether they can is
-found once for each pair, by merging the bytes of the two, so the work is linear in the text and the
-ids are those of the merges.
+found once for each pair, from the merges that make the two of their bytes, so the work is linear in
+the text and the ids are those of the merges.
 
 Rows are independent: no shuffle, and a lost task is run again from its input. Both directions
-run in one Python worker of a task. What it remembers of texts is bounded in bytes and
-forgotten at the end of the task; tables of the vocabulary stay.
+run in one Python worker of a task. What a worker remembers of texts and of pairs of tokens is bounded,
+in bytes and in entries, and serves its next tasks.
 
 Contracts. A null text is an empty one: no ids, an empty packed column. Texts of any length are
 encoded whole. Repeated rows give repeated results. Columns of the input stay as they are; where
@@ -35,7 +35,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from srcatlas.llm import bytekit
 
 #: Bytes that a worker spends on stretches of text it remembers, and pairs of tokens; beyond it they are forgotten.
-REMEMBERED_BYTES, REMEMBERED_PAIRS = 24 << 20, 150_000
+REMEMBERED_BYTES, REMEMBERED_PAIRS = 32 << 20, 250_000
 #: What an entry takes beside its own bytes, about.
 ENTRY_BYTES = 200
 #: Bytes of text that are handed on at once.
@@ -66,9 +66,6 @@ class Decoder:
         sizes = self.size_of[ids]
         return self.flat[np.repeat(self.place_of[ids], sizes) + bytekit.ranges(sizes)].tobytes()
 
-    def forget(self) -> None:
-        """Nothing is remembered."""
-
 
 class Codec(Decoder):
     """Encoder and decoder of one rank file."""
@@ -85,32 +82,58 @@ class Codec(Decoder):
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, bytes] = {}
+        self.histories: dict[int, list | None] = {}
         self.fits: dict[int, bool] = {}
-        self.held = 0
+        self.known: dict[str, bytes] = {}
+        self.held = 0  # bytes of ``known``, about
 
-    def _side_by_side(self, a: int, b: int) -> bool:
-        """Whether merging the bytes of a and b, the adjacent pair of the lowest rank first, leaves just a and b."""
-        rank, none = self.ranks.get, len(self.tokens)
-        piece, left = self.tokens[a] + self.tokens[b], self.sizes[a]  # ``left``: parts that a is in so far
-        parts = [piece[i:i + 1] for i in range(len(piece))]
-        pairs = [rank(piece[i:i + 2], none) for i in range(len(piece) - 1)]
-        while len(parts) > 2:
+    def _merges(self, token: int) -> list[tuple[int, bytes, bytes]] | None:
+        """The merges that make a token of its bytes, lowest rank first: rank, and the first and last part after it.
+
+        None for a token that merging does not reach.
+        """
+        rank, none, piece = self.ranks.get, len(self.tokens), self.tokens[token]
+        parts, out = [piece[i:i + 1] for i in range(len(piece))], []
+        while len(parts) > 1:
+            pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
             lowest = min(pairs)
+            if lowest == none:
+                return None
             at = pairs.index(lowest)
-            if lowest == none or at == left - 1:  # nothing goes on, or over the border
-                return False
-            left -= at < left
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-            del pairs[at]
-            if at:
-                pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
-            if at < len(pairs):
-                pairs[at] = rank(parts[at] + parts[at + 1], none)
-        return left == 1 and pairs[0] == none
+            out.append((lowest, parts[0], parts[-1]))
+        return out
+
+    def _history(self, token: int) -> list[tuple[int, bytes, bytes]] | None:
+        if token not in self.histories:
+            self.histories[token] = self._merges(token)
+        return self.histories[token]
+
+    def _side_by_side(self, a: int, b: int) -> bool:
+        """Whether merging the bytes of a and b, lowest rank first, leaves just a and b.
+
+        Until something merges over the border each side goes its own way, so their merges are taken
+        in turn by rank. The parts at the border must never be the next to merge.
+        """
+        left, right, rank, none = self._history(a), self._history(b), self.ranks.get, len(self.tokens)
+        if left is None or right is None:
+            return False
+        last, first, i, j = self.tokens[a][-1:], self.tokens[b][:1], 0, 0
+        border = rank(last + first, none)
+        while True:
+            x, y = left[i][0] if i < len(left) else none, right[j][0] if j < len(right) else none
+            if border < x and border <= y and border < none:  # of equal merges the left one comes first
+                return False
+            if x == y == none:
+                return True
+            if x <= y:
+                last, i, changed = left[i][2], i + 1, last
+                moved = changed is not last
+            else:
+                first, j, changed = right[j][1], j + 1, first
+                moved = changed is not first
+            if moved:
+                border = rank(last + first, none)
 
     def ids_of(self, piece: bytes) -> list[int]:
         """The ids of one match of the pattern."""
@@ -163,19 +186,27 @@ class Codec(Decoder):
                 if ids is None:
                     stretch = stretches[i]
                     if (ids := self.known.get(stretch)) is None:
-                        pieces = self.split(stretch)
-                        ids = b"".join([array("I", self.ids_of(p.encode("utf-8"))).tobytes() for p in pieces])
-                        if len(stretch) < 256:
-                            self._remember(stretch, ids)
+                        ids = b"".join([self._piece(p) for p in self.split(stretch)])
+                        self._remember(stretch, ids)
                     out[i] = ids
         return b"".join(out)
 
-    def _remember(self, stretch: str, ids: bytes) -> None:
+    def _piece(self, piece: str) -> bytes:
+        """Packed ids of one match of the pattern; a stretch is often one, or one and a sign."""
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = array("I", self.ids_of(piece.encode("utf-8"))).tobytes()
+            self._remember(piece, ids)
+        return ids
+
+    def _remember(self, text: str, ids: bytes) -> None:
+        if len(text) >= 256 or text in self.known:
+            return
         if self.held >= REMEMBERED_BYTES:
             self.known.clear()
             self.held = 0
-        self.known[stretch] = ids
-        self.held += len(stretch) + len(ids) + ENTRY_BYTES
+        self.known[text] = ids
+        self.held += len(text) + len(ids) + ENTRY_BYTES
 
 
 _BUILT: dict[str, Decoder] = {}
@@ -229,13 +260,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", pac
 
     def run(batches):
         c = codec(sent.value, pattern)
-        try:
-            for batch, texts in _parts(batches, text):
-                out = [c.encode(t) if t else b"" for t in texts.to_pylist()]
-                back = {decoded: pa.array([c.decode(x) for x in out], pa.binary())} if decoded else {}
-                yield _with(batch, schema, **{packed: pa.array(out, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64())}, **back)
-        finally:
-            c.forget()
+        for batch, texts in _parts(batches, text):
+            out = [c.encode(t) if t else b"" for t in texts.to_pylist()]
+            back = {decoded: pa.array([c.decode(x) for x in out], pa.binary())} if decoded else {}
+            yield _with(batch, schema, **{packed: pa.array(out, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64())}, **back)
 
     return df.mapInArrow(run, schema)
 

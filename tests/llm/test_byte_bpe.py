@@ -51,7 +51,10 @@ def test_frame(spark, library):
     assert sorted((r["doc_id"], bytes(r["decoded"])) for r in apart.collect()) == sorted((i, (t or "").encode()) for i, t, _ in rows)
 
 
-def test_memory_is_bounded_and_given_back(codec, library, monkeypatch):
+def test_memory_is_bounded(codec, library, monkeypatch):
+    codec.fits.clear()
+    codec.known.clear()
+    codec.held = 0
     monkeypatch.setattr(byte_bpe, "REMEMBERED_BYTES", 5000)
     monkeypatch.setattr(byte_bpe, "REMEMBERED_PAIRS", 20)
     rng = random.Random(6)
@@ -59,5 +62,26 @@ def test_memory_is_bounded_and_given_back(codec, library, monkeypatch):
         text = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 30))) for _ in range(40))
         assert codec.encode(text) == packed(library.encode_ordinary(text))
         assert codec.held <= 5000 + 600 and len(codec.fits) <= 20 and len(codec.known) < 40
-    codec.forget()
-    assert not codec.known and not codec.fits and not codec.held
+
+
+def merged(codec, piece):
+    """By definition: the adjacent pair of the lowest rank is merged, until none has one."""
+    parts = [piece[i:i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        lowest, at = min((codec.ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if lowest == 1 << 30:
+            break
+        parts[at:at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+def test_neighbours_by_definition(codec):
+    rng = random.Random(7)
+    letters = [r for r, t in enumerate(codec.tokens) if t.isalpha()]
+    for _ in range(20_000):
+        a, b = rng.choice(letters), rng.choice(letters)
+        if rng.random() < 0.5:  # the parts of one token
+            t = codec.tokens[a]
+            k = rng.randint(1, max(1, len(t) - 1))
+            a, b = codec.ranks.get(t[:k], a), codec.ranks.get(t[k:], b)
+        assert codec._side_by_side(a, b) == (merged(codec, codec.tokens[a] + codec.tokens[b]) == [codec.tokens[a], codec.tokens[b]])

@@ -35,7 +35,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from srcatlas.llm import bytekit
 
 #: Bytes that a worker spends on stretches of text it remembers, and pairs of tokens; beyond it they are forgotten.
-REMEMBERED_BYTES, REMEMBERED_PAIRS = 32 << 20, 250_000
+REMEMBERED_BYTES, REMEMBERED_PAIRS = 80 << 20, 400_000
 #: What an entry takes beside its own bytes, about.
 ENTRY_BYTES = 200
 #: Bytes of text that are handed on at once.

@@ -31,6 +31,9 @@ HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 #: Documents that the models are counted from, about.
 SAMPLE = 20_000
+#: Matches whose positions are added up at once.
+PIECE = 256
+SPAN = "array<struct<start:int,no:int,kind:string,end:int,value:string>>"
 #: Log-likelihood ratio per character, in nats, from which a token counts as random.
 THRESHOLD = 0.35
 
@@ -46,14 +49,20 @@ def _quoted(pattern: str) -> str:
 def spans(kind: str, pattern: str, keep: str = "true", group: int = 0) -> str:
     """SQL for the spans of a pattern in the column ``text``: start, kind's number, kind, end, value.
 
-    Gaps and matches alternate, so their lengths add up to positions. ``keep`` filters by x.`2`, the value.
+    Gaps and matches alternate, so their lengths add up to positions: in pieces of ``PIECE`` matches
+    first, then over the pieces, as an aggregate copies what it has found so far at every step.
+    ``keep`` filters by x.`2`, the value.
     """
-    return f"""if(text rlike {_quoted(pattern)}, aggregate(
-        arrays_zip(slice(split(text, {_quoted(pattern)}, -1), 1, size({matches('text', pattern)})), {matches('text', pattern)}, {matches('text', pattern, group)}),
-        struct(0 as at, cast(array() as array<struct<start:int,no:int,kind:string,end:int,value:string>>) as found),
+    found = matches("text", pattern)
+    zipped = f"arrays_zip(slice(split(text, {_quoted(pattern)}, -1), 1, size({found})), {found}, {matches('text', pattern, group)})"
+    piece = f"""aggregate(slice(z, cast(i * {PIECE} + 1 as int), {PIECE}), struct(0 as at, cast(array() as {SPAN}) as found),
         (a, x) -> struct(a.at + length(x.`0`) + length(x.`1`) as at, if({keep}, concat(a.found, array(struct(
-            a.at + length(x.`0`) as start, {KINDS.index(kind)} as no, '{kind}' as kind, a.at + length(x.`0`) + length(x.`1`) as end, x.`2` as value))), a.found) as found),
-        a -> a.found), cast(array() as array<struct<start:int,no:int,kind:string,end:int,value:string>>))"""
+            a.at + length(x.`0`) as start, {KINDS.index(kind)} as no, '{kind}' as kind, a.at + length(x.`0`) + length(x.`1`) as end, x.`2` as value))), a.found) as found))"""
+    before = "aggregate(p, struct(0 as at, cast(array() as array<int>) as starts), (a, x) -> struct(a.at + x.at as at, concat(a.starts, array(a.at)) as starts), a -> a.starts)"
+    moved = f"""flatten(zip_with(p, {before}, (x, o) -> transform(x.found, f -> struct(
+        f.start + o as start, f.no as no, f.kind as kind, f.end + o as end, f.value as value))))"""
+    whole = f"get(transform(array({zipped}), z -> get(transform(array(transform(sequence(0L, (size(z) - 1) div {PIECE}), i -> {piece})), p -> {moved}), 0)), 0)"
+    return f"if(text rlike {_quoted(pattern)}, {whole}, cast(array() as {SPAN}))"
 
 
 def base_spans() -> dict[str, str]:

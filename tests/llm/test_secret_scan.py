@@ -54,3 +54,18 @@ def test_random_letters_without_a_digit(spark):
     out = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in scan.scan(spark.createDataFrame(new, "doc_id long, text string"), ratios).collect()}
     assert sum("random" in out[i] for i in range(100)) >= 75
     assert sum("random" in out[1000 + i] for i in range(100)) <= 5
+
+
+def test_a_dump_of_hashes(spark):
+    """A megabyte of hex strings in one text: positions are exact, and time does not grow with the square of the matches."""
+    import time
+
+    rng = random.Random(8)
+    lines = ["%032x" % rng.getrandbits(128) for _ in range(30_000)]
+    text = "\n".join(lines) + "\ntoken = " + "x" * 40
+    ratios = [0.0] * (128 * 128)
+    began = time.time()
+    found = scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), ratios).first()["spans"]
+    assert time.time() - began < 60
+    assert [(s["start"], s["end"]) for s in found if s["kind"] == "hex"] == [(33 * i, 33 * i + 32) for i in range(30_000)]
+    assert [s["start"] for s in found if s["kind"] == "assign"] == [33 * 30_000]

@@ -17,7 +17,8 @@ only the current turn is in memory, so a conversation of any length can be diges
 Contracts. A null text is empty, a null role is empty. Turns are ordered by (order column, role,
 text); ties and repeated rows all stay. A null conversation id is one conversation of its own. A
 record that matches no mapping has no turns and ``layout`` null, as has a text that is no JSON
-object. Other columns are ignored; names of results never clash with them. Empty in, empty out.
+object or is nested too deep to be read; half of a surrogate pair becomes a question mark. A
+conversation is read back in one task, as its digest needs its turns in order. Other columns are ignored; names of results never clash with them. Empty in, empty out.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from srcatlas.llm.frames import map_in_arrow
 
 OPEN, CLOSE = "<|turn|>", "<|end|>"
 _PIECE = re.compile(r"<\|turn\|>([^\n]*)\n(.*?)<\|end\|>\n", re.S)
@@ -100,7 +104,9 @@ def fingerprints(mappings: list[Mapping]) -> tuple[set[str], dict[str, Mapping]]
 
 
 def _text(value) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
+    """A value as text; half of a surrogate pair, which no text can hold, becomes a question mark."""
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
+    return text.encode("utf-8", "replace").decode()
 
 
 def _at(record, path: str):
@@ -129,7 +135,9 @@ def canonical(df: DataFrame, record: str, mappings: list[Mapping] | None = None)
     mappings = mappings or MAPPINGS
     turn = pa.struct([("role", pa.string()), ("text", pa.string())])
     kept = [c for c in df.columns if c not in (record, "layout", "turns")]
-    fields = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + ["layout string", "turns array<struct<role:string,text:string>>"])
+    made = StructType.fromDDL("layout string, turns array<struct<role:string,text:string>>")
+    fields = StructType([*(df.schema[c] for c in kept), *made.fields])
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in (*kept, record)]
 
     def run(batches):
         known, table = fingerprints(mappings)
@@ -138,14 +146,15 @@ def canonical(df: DataFrame, record: str, mappings: list[Mapping] | None = None)
             for text in batch.column(len(kept)).to_pylist():
                 try:
                     value = json.loads(text) if text else None
-                except ValueError:
-                    value = None
-                m = table.get(fingerprint(field_paths(value) & known)) if isinstance(value, dict) else None
+                    m = table.get(fingerprint(field_paths(value) & known)) if isinstance(value, dict) else None
+                    own = [{"role": r, "text": t} for r, t in turns_of(value, m)] if m else []
+                except (ValueError, RecursionError):  # no JSON, or nested deeper than can be read
+                    m, own = None, []
                 names.append(m.name if m else None)
-                turns.append([{"role": r, "text": t} for r, t in turns_of(value, m)] if m else [])
+                turns.append(own)
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(names, pa.string()), pa.array(turns, pa.list_(turn))], [*kept, "layout", "turns"])
 
-    return df.select(*kept, record).mapInArrow(run, fields)
+    return map_in_arrow(df.select(*quoted), run, fields)
 
 
 def escaped(text: Column) -> Column:

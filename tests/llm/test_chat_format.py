@@ -3,6 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
+
 from srcatlas.llm import chat_format as chat
 
 
@@ -44,3 +45,15 @@ def test_layouts(spark):
         assert got[i] == (layout, turns)
     assert got[98] == got[99] == (None, [])
     assert chat.canonical(df.withColumn("turns", F.lit(1)), "record").columns == ["id", "layout", "turns"]
+
+
+def test_records_that_cannot_be_read(spark):
+    """Half a surrogate pair becomes a question mark; a record nested too deep has no layout."""
+    deep = '{"prompt": ' + "[" * 100_000 + "]" * 100_000 + ', "response": "x"}'
+    half = '{"prompt": "a\\ud800b", "response": "ok"}'
+    rows = [(1, half, "k"), (2, deep, "k"), (3, '{"prompt": "p", "response": "r"}', "k")]
+    df = spark.createDataFrame(rows, "conv_id long, record string, `a.b` string")
+    got = {r["conv_id"]: r for r in chat.canonical(df, "record").collect()}
+    assert got[2]["layout"] is None and got[2]["turns"] == []
+    assert [t["text"] for t in got[1]["turns"]] == ["a?b", "ok"] and got[1]["layout"] == got[3]["layout"] is not None
+    assert got[1]["a.b"] == "k"

@@ -4,8 +4,11 @@ A text's subwords are its byte n-grams (lower-cased ASCII letters and all non-AS
 bytes stand for one blank). Each is hashed to a row of an embedding table; a text is the average
 of its rows, and a linear softmax over it gives the languages. Embeddings and weights are learned by
 stochastic gradient descent. A temperature, fitted on texts kept back from the descent, calibrates
-the scores; texts that score below a threshold, set so that at most ``REJECTED`` of those kept back
-fall under it, are rejected, as are texts without a letter.
+the scores. A softmax over known languages is certain of unknown ones, too, so a text has also to be made of subwords
+that are frequent in one of the languages: the mean log frequency of its subwords is held against that of
+the texts kept back, in units of their spread and of what a text of its length varies by. Texts farther out
+than ``MARGIN`` times the farthest of those kept back are rejected, as are texts that score below a threshold, set so that at most ``REJECTED`` of
+those kept back fall under it, and texts without a letter.
 
 The model is fitted on a bounded sample (``SAMPLE`` texts of each language, chosen by a hash of
 doc_id; the texts whole) and is sent to the tasks; prediction covers every whole text without a
@@ -25,13 +28,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from srcatlas.llm import bytekit
+from srcatlas.llm.frames import map_in_arrow, plainly
 
 #: Texts of a language that the model is fitted on, at most.
 SAMPLE = 400
 #: Share of the texts kept back that may be rejected, at most.
 REJECTED = 0.002
+#: How much farther out than any text kept back a text may be, and how many must have been kept back for that.
+MARGIN, KEPT_BACK = 2.0, 20
+#: Subwords of a text that count as one, as those of a place overlap.
+OVERLAP = 6
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
 WIDTH = 16
@@ -49,6 +58,13 @@ class Model:
     products: np.ndarray  # of embeddings and weights, one row per bucket, over the temperature
     bias: np.ndarray
     threshold: float
+    familiar: np.ndarray  # log frequency of each bucket in the language that has it most
+    usual: tuple[float, float, float, float]  # mean, spread of texts and of subwords, and the farthest distance allowed
+
+    def distance(self, mean: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How far below the usual the mean log frequencies of texts of n subwords are."""
+        middle, between, within, _ = self.usual
+        return (middle - mean) / np.sqrt(between ** 2 + within ** 2 * OVERLAP / np.maximum(n, 1))
 
 
 def subwords(data: np.ndarray):
@@ -73,12 +89,12 @@ def has_letter(texts: bytekit.Texts) -> np.ndarray:
     return out
 
 
-def _sparse(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their shares."""
+def _sparse(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """Distinct buckets of a text, their shares, and the number of subwords."""
     data = np.frombuffer(text, np.uint8)
     found = [b for _, b in subwords(data)]
     buckets, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint32), return_counts=True)
-    return buckets.astype(np.int64), n / max(1, n.sum())
+    return buckets.astype(np.int64), n / max(1, n.sum()), int(n.sum())
 
 
 def fit(rows: list[tuple[str, bytes]], rejected: float = REJECTED, epochs: int = 6, rate: float = 4.0, seed: int = 1) -> Model:
@@ -96,7 +112,7 @@ def fit(rows: list[tuple[str, bytes]], rejected: float = REJECTED, epochs: int =
     steps = epochs * max(1, len(learn))
     for step in range(epochs):
         for j, i in enumerate(rng.permutation(len(learn))):
-            lang, buckets, shares = learn[i]
+            lang, buckets, shares, _ = learn[i]
             now = rate * (1 - (step * len(learn) + j) / steps)
             mean = shares @ table[buckets]
             logits = mean @ weights + bias
@@ -107,8 +123,8 @@ def fit(rows: list[tuple[str, bytes]], rejected: float = REJECTED, epochs: int =
             weights -= now * np.outer(mean, p)
             bias -= 0.1 * now * p
             table[buckets] -= now * len(buckets) ** 0.5 * shares[:, None] * inner
-    logits = np.array([shares @ table[buckets] @ weights + bias for _, buckets, shares in back] or np.zeros((0, len(languages))))
-    truth = np.array([lang for lang, _, _ in back], int)
+    logits = np.array([shares @ table[buckets] @ weights + bias for _, buckets, shares, _ in back] or np.zeros((0, len(languages))))
+    truth = np.array([lang for lang, _, _, _ in back], int)
 
     def scores(t: float) -> np.ndarray:
         z = logits / t
@@ -120,26 +136,45 @@ def fit(rows: list[tuple[str, bytes]], rejected: float = REJECTED, epochs: int =
         grid = np.geomspace(0.2, 20, 60)
         temperature = float(min(grid, key=lambda t: -np.log(scores(t)[np.arange(len(truth)), truth] + 1e-12).sum()))
         threshold = float(min(0.5, np.quantile(scores(temperature).max(axis=1), rejected) * 0.75))
-    return Model(languages, table @ weights / temperature, bias / temperature, threshold)
-
-
-def predict(model: Model, texts: bytekit.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """The language's number (-1: und) and the score of each text."""
+    familiar = _familiar(learn, len(languages))
+    model = Model(languages, table @ weights / temperature, bias / temperature, threshold, familiar, (0.0, 1.0, 1.0, np.inf))
+    texts = [(shares @ familiar[buckets], shares @ familiar[buckets] ** 2, n) for _, buckets, shares, n in back if n]
+    if len(texts) >= KEPT_BACK:
+        mean, square, n = (np.array(c) for c in zip(*texts))
+        model.usual = (float(mean.mean()), float(mean.std()) + 1e-6, float(np.sqrt(np.maximum(square - mean ** 2, 0).mean())) + 1e-6, np.inf)
+        model.usual = (*model.usual[:3], MARGIN * max(1.0, float(model.distance(mean, n).max())))
+    return model
+
+
+def _familiar(rows: list, languages: int) -> np.ndarray:
+    """Log frequency of each bucket in the language that has it most, all texts of a language counting alike."""
+    often = np.zeros((languages, BUCKETS))
+    texts = np.zeros(languages)
+    for lang, buckets, shares, _ in rows:
+        often[lang, buckets] += shares
+        texts[lang] += 1
+    share = often / np.maximum(texts, 1)[:, None]
+    return np.log(share.max(axis=0, initial=0) + 0.01 / BUCKETS)
+
+
+def predict(model: Model, texts: bytekit.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The language's number (-1: und), the score, and whether it is rejected, of each text."""
     n, k = len(texts.rows), len(model.languages)
     if not k:
-        return np.full(n, -1), np.zeros(n)
-    sums, counts = np.zeros((n, k)), np.zeros(n)
-    ends = texts.starts + texts.sizes
+        return np.full(n, -1), np.zeros(n), np.ones(n, bool)
+    sums, known, counts = np.zeros((n, k)), np.zeros(n), np.zeros(n)
     for order, buckets in subwords(texts.data):
         own = np.clip(texts.sizes - order + 1, 0, None)
         some = np.flatnonzero(own)
         if not len(some):
             continue
         counts += own
+        at = np.zeros(len(buckets) + 1)
         for lang in range(k):
-            at = np.zeros(len(buckets) + 1)
             np.cumsum(model.products[:, lang][buckets], out=at[1:])
             sums[some, lang] += at[texts.starts[some] + own[some]] - at[texts.starts[some]]
+        np.cumsum(model.familiar[buckets], out=at[1:])
+        known[some] += at[texts.starts[some] + own[some]] - at[texts.starts[some]]
     logits = sums / np.maximum(counts, 1)[:, None] + model.bias
     e = np.exp(logits - logits.max(axis=1, keepdims=True))
     e /= e.sum(axis=1, keepdims=True)
@@ -147,8 +182,8 @@ def predict(model: Model, texts: bytekit.Texts) -> tuple[np.ndarray, np.ndarray]
     score = e[np.arange(n), best]
     none = ~has_letter(texts)
     best[none], score[none] = -1, 0.0
-    del ends
-    return best, score
+    far = (counts > 0) & (model.distance(known / np.maximum(counts, 1), counts) > model.usual[3])
+    return best, score, none | far | (score < model.threshold)
 
 
 def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
@@ -159,7 +194,7 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
     usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 0.0)
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 0.0, np.zeros(BUCKETS), (0.0, 1.0, 1.0, np.inf))
     key = F.xxhash64("doc_id", F.lit(17))
     parts = [(F.col("lang") == lang) & (F.pmod(key, F.lit(1 << 20)) < int(min(1.0, 1.2 * sample / n) * (1 << 20)) + 1) for lang, n in counts.items()]
     chosen = parts[0]
@@ -177,21 +212,22 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Adds lang_pred, score and rejected to every document."""
-    results = ["lang_pred", "score", "rejected"]
-    kept = [c for c in docs.columns if c not in results]
-    fields = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["lang_pred string", "score double", "rejected boolean"])
+    results = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
+    kept = [f for f in docs.schema.fields if f.name not in results.fieldNames()]
+    names = [f.name for f in kept]
+    schema = StructType([*kept, *results.fields])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = sent.value
-        names = np.array([*m.languages, "und"], object)
+        languages = np.array([*m.languages, "und"], object)
         for batch in batches:
-            for texts in bytekit.chunks(batch.column(kept.index("text"))):
-                best, score = predict(m, texts)
+            for texts in bytekit.chunks(batch.column(names.index("text"))):
+                best, score, rejected = predict(m, texts)
                 part = batch.slice(int(texts.rows[0]), len(texts.rows))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(score), pa.array((best < 0) | (score < m.threshold))], [*kept, *results])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(languages[best], pa.string()), pa.array(score), pa.array(rejected)], schema.fieldNames())
 
-    return docs.select(*kept).mapInArrow(run, fields)
+    return map_in_arrow(docs.select(*(F.col(f"`{n.replace('`', '``')}`") for n in names)), run, schema)
 
 
 def held_out() -> Column:
@@ -209,7 +245,5 @@ def report(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents that the model does not reject, all columns as they are."""
     model = train(docs, ~held_out())
-    columns, own = docs.columns, [c for c in docs.columns if c != "text"]
-    packed = docs.select(F.struct(*own).alias("row"), F.col("text").cast("string").alias("text"))
-    kept = identify(packed, model).where(~F.col("rejected"))
-    return kept.select("row.*", "text").select(*columns)
+    packed = lambda plain: identify(plain, model).where(~F.col("rejected"))
+    return plainly(docs.withColumn("text", F.col("text").cast("string")), ("doc_id", "text"), packed)

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from srcatlas.llm import bytekit
+from srcatlas.llm.frames import map_in_arrow
 
 #: Bytes that a worker spends on stretches of text it remembers, and pairs of tokens; beyond it they are forgotten.
 REMEMBERED_BYTES, REMEMBERED_PAIRS = 80 << 20, 400_000
@@ -265,7 +266,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", pac
             back = {decoded: pa.array([c.decode(x) for x in out], pa.binary())} if decoded else {}
             yield _with(batch, schema, **{packed: pa.array(out, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64())}, **back)
 
-    return df.mapInArrow(run, schema)
+    return map_in_arrow(df, run, schema)
 
 
 def decode(df: DataFrame, ranks_path: str, packed: str = "token_ids", decoded: str = "decoded") -> DataFrame:
@@ -278,7 +279,7 @@ def decode(df: DataFrame, ranks_path: str, packed: str = "token_ids", decoded: s
         for batch, ids in _parts(batches, packed):
             yield _with(batch, schema, **{decoded: pa.array([d.decode(x or b"") for x in ids.to_pylist()], pa.binary())})
 
-    return df.mapInArrow(run, schema)
+    return map_in_arrow(df, run, schema)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.llm import bytekit
+from srcatlas.llm.frames import plainly
 from srcatlas.llm.sieve import bitmap, marked
 from srcatlas.session import cut
 
@@ -172,7 +173,10 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without any hit, all columns as they are."""
-    row = "__row"
-    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    hit = contamination(numbered.select(F.col(row).alias("doc_id"), "text"), items).where("n_hit > 0").select(F.col("doc_id").alias(row))
-    return numbered.join(hit, row, "left_anti").drop(row)
+
+    def kept(plain: DataFrame) -> DataFrame:
+        numbered = cut(plain.withColumn("__row", F.monotonically_increasing_id()))
+        hit = contamination(numbered.select(F.col("__row").alias("doc_id"), "text"), items).where("n_hit > 0").select(F.col("doc_id").alias("__row"))
+        return numbered.join(hit, "__row", "left_anti").drop("__row")
+
+    return plainly(docs, ("doc_id", "text"), kept)

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from srcatlas.llm import bytekit, sieve
 from srcatlas.llm.components import components
+from srcatlas.llm.frames import plainly
 from srcatlas.session import cut
 
 U64 = np.uint64
@@ -397,5 +398,9 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
 def distinct(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """One document of each group, the one with the smallest doc_id; all columns as they are."""
-    gone = groups(docs, k, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+    def kept(plain: DataFrame) -> DataFrame:
+        gone = groups(plain, k, percent).where("component_id <> doc_id").select("doc_id").distinct()
+        return plain.join(gone, "doc_id", "left_anti")
+
+    return plainly(docs, ("doc_id", "text"), kept)

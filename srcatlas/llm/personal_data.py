@@ -21,8 +21,10 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from srcatlas.llm import bytekit
+from srcatlas.llm.frames import map_in_arrow
 
 KINDS = ["email", "ip", "card", "phone", "url", "account"]
 BASE = KINDS[:4]
@@ -121,7 +123,8 @@ def spans_of(text: str, automaton) -> list[tuple[str, int, int]]:
 def find(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """Adds ``spans``: array of (kind, start, end), by kind as listed and then start."""
     kept = [c for c in df.columns if c != spans]
-    fields = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [f"`{spans}` array<struct<kind:string,start:int,end:int>>"])
+    found = StructType.fromDDL("kind string, start int, end int")
+    schema = StructType([*(df.schema[c] for c in kept), StructField(spans, ArrayType(found))])
     kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches):
@@ -133,7 +136,7 @@ def find(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
                 out = [[{"kind": k, "start": s, "end": e} for k, s, e in spans_of(t, automaton)] if t else [] for t in texts.slice(first, n).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, n).columns, pa.array(out, pa.list_(kind))], [*kept, spans])
 
-    return df.select(*kept).mapInArrow(run, fields)
+    return map_in_arrow(df.select(*(F.col("`" + c.replace("`", "``") + "`") for c in kept)), run, schema)
 
 
 def masked(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:

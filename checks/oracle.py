@@ -375,6 +375,9 @@ _STORED = """, ask AS (SELECT DISTINCT repo, node_id FROM no WHERE kind = '{0}'
 _RUN_BASE = f"WITH {_templated()}, el AS (SELECT * FROM tx), fi AS (SELECT DISTINCT repo, path, language FROM tf)"
 _RUN = f"{_RUN_BASE}, nid AS (SELECT *, {_NODE_ID} AS node_id FROM el), {FINDINGS.split('FROM el),', 1)[1]},{MERGED_ONLY},{_numbered('me')}"
 
+_FILTERED_RUN = _RUN.replace("el AS (SELECT * FROM tx)", "el AS (SELECT * FROM tx WHERE language IN ('python', 'go'))").replace(
+    "SELECT * FROM fd UNION ALL", "SELECT * FROM fd WHERE class IN ('sql-injection', 'xss') UNION ALL")
+
 
 def statements() -> dict[str, str]:
     elements, findings = f"WITH {ELEMENTS}", f"WITH {ELEMENTS},{FINDINGS}"
@@ -433,7 +436,11 @@ def statements() -> dict[str, str]:
               coalesce(findings, 0) AS findings, coalesce(external_findings, 0) AS external_findings,
               CASE WHEN t AND s THEN 'trivy, semgrep' WHEN t THEN 'trivy' WHEN s THEN 'semgrep' ELSE '' END AS external_tools
             FROM fs JOIN es USING (repo) LEFT JOIN pairs USING (repo) LEFT JOIN mc USING (repo)""",
-        "tree_info": f"""{_RUN_BASE}, k AS (SELECT repo, kind || 's' AS measure, count(*) AS value FROM el GROUP BY ALL),
+        "scan_run_filtered": f"""{_FILTERED_RUN} SELECT repo, seq, finding_id, class, severity, title, file, start_row, start_col, source FROM nu WHERE severity IN ('critical', 'high')""",
+        "tree_info": """WITH t AS (SELECT ['a', 'a/b/_c', 'node_modules/x', '.github', 'd/build'][1 + page_id % 5] AS dir, ['.py', '.js', '.txt', '.go'][1 + page_id % 4] AS ext FROM pages)
+            SELECT 'web' AS repo, CASE ext WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' ELSE 'go' END AS language, count(*) AS files
+            FROM t WHERE ext <> '.txt' AND dir NOT IN ('node_modules/x', 'd/build') GROUP BY ALL""",
+        "stored_summary": f"""{_RUN_BASE}, k AS (SELECT repo, kind || 's' AS measure, count(*) AS value FROM el GROUP BY ALL),
             kinds AS (SELECT r.repo, v.measure, coalesce(k.value, 0) AS value FROM (SELECT DISTINCT repo FROM fi) r
               CROSS JOIN (VALUES ('functions'), ('calls'), ('imports'), ('strings')) v(measure) LEFT JOIN k ON k.repo = r.repo AND k.measure = v.measure),
             pairs AS (SELECT c.repo, sum(c.n * f.n)::BIGINT AS resolved FROM

@@ -189,8 +189,23 @@ def scan_run_metrics(spark, sf):
     return _scan(spark, sf).metrics().filter("files > 0")
 
 
+@query
+def scan_run_filtered(spark, sf):
+    """A whole scan of two languages, of two classes of findings, from a severity on."""
+    files = trees.filter_languages(I.templated_files(spark, sf), ["python", "go"])
+    found = scan.scan_files(files, ["sql-injection", "xss"], trivy=I.trivy_reports(spark, sf), semgrep=I.semgrep_reports(spark, sf)).findings
+    return detection.filter_by_severity(found, "high").select("repo", "seq", "finding_id", "class", "severity", "title", "file", "start_row", "start_col", "source")
+
+
 @query
 def tree_info(spark, sf):
+    """Files per language of a source tree, which is listed only."""
+    roots = spark.range(1).select(F.lit("web").alias("repo"), F.lit(_write_tree(spark, sf)).alias("root"))
+    return understand.tree_info(roots)
+
+
+@query
+def stored_summary(spark, sf):
     """Files and elements of a whole code base: statistics and languages, from the bytes."""
     files, elements = scan.store(I.templated_files(spark, sf))
     return understand.repo_summary(files, elements)

@@ -13,13 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas import model
-from srcatlas.session import cut
+from srcatlas.session import cut, cut_in_buckets
 
 CALL_KEY = ["repo", "language", "name"]
 
 # Calls or functions of one name that meet in one share of the join.
 ROWS_PER_SHARE = 3000
 
+# Tasks that functions of one name go to, where free names are looked for.
+SALTS = 16
+
+# Rounds of ``reachable`` whose tables become one, and such tables again.
+CARRY = 4
+
 # Above this many edges a source node is fanned out over intermediate nodes.
 FAN_OUT = 100_000
 
@@ -95,8 +101,8 @@ def structure_edges(elements: DataFrame) -> DataFrame:
     )
 
 
-def _shares(elements: DataFrame, rows_per_share: int) -> DataFrame:
-    """Names that have both calls and functions, and into how many shares each side is split."""
+def _heavy_names(elements: DataFrame, rows_per_share: int) -> DataFrame:
+    """Names with more calls or functions than a share, and into how many shares each side is split; a written table."""
     counts = (
         elements.filter(F.col("kind").isin("call", "function"))
         .groupBy(*CALL_KEY)
@@ -105,34 +111,40 @@ def _shares(elements: DataFrame, rows_per_share: int) -> DataFrame:
             F.count_if(F.col("kind") == "function").alias("functions"),
         )
     )
-    return counts.filter("calls > 0 AND functions > 0").select(
+    heavy = counts.filter((F.col("calls") > rows_per_share) | (F.col("functions") > rows_per_share))
+    return cut(heavy.select(
         *CALL_KEY, F.ceil(F.col("calls") / rows_per_share).alias("call_shares"),
         F.ceil(F.col("functions") / rows_per_share).alias("function_shares"),
-    )
+    ))
 
 
 def resolved_pairs(elements: DataFrame, rows_per_share: int = ROWS_PER_SHARE) -> DataFrame:
     """Every call with every function of its name and language in its repository.
 
     Columns ``repo``, ``language``, ``name``, then ``call`` and ``function`` structs
-    (node_id, path, start_row). Both sides of a name are split into shares by their
-    counts, and every call share meets every function share, so no key has more than
-    about ``rows_per_share`` rows of a side. Calls without a definition, often the most
-    frequent names, go no further than the join with the counts, which splits at will.
+    (node_id, path, start_row). Names with more than ``rows_per_share`` calls or functions
+    are heavy: both their sides are split into shares by their counts, and every call share
+    meets every function share, so no key has more than about that many rows of a side. Heavy names without
+    a call or without a function have no share on that side and go no further. All other names meet in one plain join.
     """
     side = F.struct(node_id().alias("node_id"), F.col("path"), F.col("start_row"))
-    shares = _shares(elements, rows_per_share)
+    heavy = _heavy_names(elements, rows_per_share)
+
+    def rows(kind: str) -> DataFrame:
+        return elements.filter(F.col("kind") == kind).select(*CALL_KEY, side.alias(kind)).join(heavy, CALL_KEY, "left")
+
+    def light(kind: str) -> DataFrame:
+        return rows(kind).filter("call_shares IS NULL").drop("call_shares", "function_shares")
 
     def shared(kind: str, own: str, other: str) -> DataFrame:
-        rows = elements.filter(F.col("kind") == kind).select(*CALL_KEY, side.alias(kind)).join(shares, CALL_KEY)
         part = F.pmod(F.xxhash64(f"{kind}.node_id"), F.col(f"{own}_shares"))
-        return rows.select(
-            *CALL_KEY, kind, part.alias(f"{own}_share"),
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}_shares") - 1)).alias(f"{other}_share"),
-        )
+        parts = F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}_shares") - 1)
+        return rows(kind).filter("call_shares > 0 AND function_shares > 0").select(
+            *CALL_KEY, kind, part.alias(f"{own}_share"), F.explode(parts).alias(f"{other}_share"))
 
     key = [*CALL_KEY, "call_share", "function_share"]
-    return shared("call", "call", "function").join(shared("function", "function", "call"), key).drop("call_share", "function_share")
+    split = shared("call", "call", "function").join(shared("function", "function", "call"), key).drop("call_share", "function_share")
+    return light("call").join(light("function"), CALL_KEY).unionByName(split)
 
 
 def resolve_calls(elements: DataFrame, rows_per_share: int = ROWS_PER_SHARE) -> DataFrame:
@@ -163,11 +175,17 @@ def call_graph(elements: DataFrame) -> DataFrame:
 
 
 def entry_points(elements: DataFrame) -> DataFrame:
-    """Functions that no call in the repository can mean: repo, name, file, line, node_id."""
-    called = elements.filter("kind = 'call'").select(*CALL_KEY).distinct()
+    """Functions that no call in the repository can mean: repo, name, file, line, node_id.
+
+    Which names are free is found on distinct names. Functions meet the free names under a salt, so a
+    name that most of them have is work for ``SALTS`` tasks.
+    """
+    distinct = {kind: elements.filter(F.col("kind") == kind).select(*CALL_KEY).distinct() for kind in ("call", "function")}
+    free = distinct["function"].join(distinct["call"], CALL_KEY, "left_anti").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("path", "ordinal"), F.lit(SALTS)).cast("int")
     return (
-        elements.filter("kind = 'function'")
-        .join(called, CALL_KEY, "left_anti")
+        elements.filter("kind = 'function'").withColumn("salt", salt)
+        .join(free, [*CALL_KEY, "salt"], "left_semi")
         .select(
             "repo", "name", F.col("path").alias("file"),
             (F.col("start_row") + 1).alias("line"), node_id().alias("node_id"),
@@ -265,6 +283,20 @@ def fan_out(edges: DataFrame, limit: int = FAN_OUT) -> DataFrame:
     return cut(lower.unionByName(upper))
 
 
+def _first_targets(starts: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(repo, start, number) of the starts that lead anywhere, and (repo, node_id, word, bits) of what they lead to first.
+
+    Starts with the same first target get numbers in a row, so that their bits stand in the same words.
+    """
+    begin = starts.select("repo", F.col("node_id").alias("start")).distinct()
+    pairs = cut(begin.join(steps.withColumnRenamed("src", "start"), ["repo", "start"]))
+    rows = pairs.groupBy("repo", "start").agg(F.min("dst").alias("near")).repartitionByRange("repo", "near", "start").sortWithinPartitions("repo", "near", "start")
+    numbers = cut(rows.select("repo", "start", F.monotonically_increasing_id().alias("number")))
+    bit = F.expr("shiftleft(1L, cast(number & 63 as int))")
+    words = pairs.join(numbers, ["repo", "start"]).groupBy("repo", F.col("dst").alias("node_id"), F.shiftright("number", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return numbers, words
+
+
 def reachable(
     nodes: DataFrame,
     edges: DataFrame,
@@ -276,36 +308,46 @@ def reachable(
 
     ``starts``: repo, node_id. Result: repo, start, then the node's columns. A start
     is never part of its own result; a target that is no node is walked but not
-    returned. Breadth first, one round per distance: each round joins only the
-    pairs found in the round before, and writes what is new to the shared folder,
-    so the plan stays small and a lost executor costs no more than its own tasks.
+    returned. Breadth first, one round per distance. Starts are numbered, and what
+    reaches a node is kept as words of 64 bits, one bit a start, so a row stands for
+    up to 64 pairs of a start and a node. A round joins only the words found in the round before; what was
+    seen lies in buckets by (repo, node, word) and is not shuffled again, so a
+    round shuffles as much as it finds. Around a cycle a bit goes once. Each
+    round is a written table: a lost executor costs no more than its own tasks.
     """
     steps = fan_out(edges.filter(F.col("kind").isin(edge_kinds)), fan_out_limit)
-    begin = starts.select("repo", F.col("node_id").alias("start")).distinct()
-    frontier = begin.withColumn("node_id", F.col("start"))
-    rounds: list[DataFrame] = []
-    seen = frontier = cut(frontier)
+    key = ["repo", "node_id", "word"]
+    numbers, words = _first_targets(starts, steps)
+    latest, rounds = cut_in_buckets(words, *key), 1
+    seen = [latest]
     while True:
-        step = (
-            frontier.withColumnRenamed("node_id", "src")
-            .join(steps, ["repo", "src"], "inner")
-            .select("repo", "start", F.col("dst").alias("node_id"))
-            .distinct()
-            .join(seen, ["repo", "start", "node_id"], "left_anti")
+        found = (
+            latest.withColumnRenamed("node_id", "src").join(steps, ["repo", "src"])
+            .groupBy("repo", F.col("dst").alias("node_id"), "word").agg(F.bit_or("bits").alias("bits"))
         )
-        frontier = cut(step)
-        if frontier.isEmpty():
+        for before in seen:  # where they lie: neither side is shuffled again
+            known = before.withColumnRenamed("bits", "known").hint("merge")
+            found = found.join(known, key, "left").select(*key, F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long")))).alias("bits")).filter("bits <> 0")
+        found = cut_in_buckets(found, *key)
+        if found.isEmpty():
             break
-        rounds.append(frontier)
-        seen = seen.unionByName(frontier)
-        if len(rounds) % 16 == 0:  # keep the union's plan short on long chains
-            seen = cut(seen)
-    found = begin.sparkSession.createDataFrame([], begin.withColumn("node_id", F.col("start")).schema)
-    for part in rounds:
-        found = found.unionByName(part)
-    return found.join(nodes, ["repo", "node_id"], "inner").select(
-        "repo", "start", *[c for c in nodes.columns if c != "repo"]
-    )
+        rounds, latest = rounds + 1, found
+        seen.append(found)
+        joined = rounds
+        while joined % CARRY == 0:  # like carries of a number: few tables, and each bit is written a few times
+            seen[-CARRY:] = [cut_in_buckets(_either(seen[-CARRY:], key), *key)]
+            joined //= CARRY
+    bits = F.expr("transform(filter(sequence(0, 63), i -> getbit(bits, i) = 1), i -> shiftleft(word, 6) + i)")
+    pairs = _either(seen, key).join(nodes, ["repo", "node_id"]).withColumn("number", F.explode(bits)).join(numbers, ["repo", "number"])
+    return pairs.filter("start <> node_id").select("repo", "start", *[c for c in nodes.columns if c != "repo"])
+
+
+def _either(tables: list[DataFrame], key: list[str]) -> DataFrame:
+    """The bits of several tables together."""
+    rows = tables[0]
+    for table in tables[1:]:
+        rows = rows.unionByName(table)
+    return rows.groupBy(*key).agg(F.bit_or("bits").alias("bits"))
 
 
 # ---- statistics ------------------------------------------------------------------

@@ -155,33 +155,36 @@ def _content(row: pa.RecordBatch, most: int) -> bytes:
     return content
 
 
-def _skipped(most: int):
+_ATTEMPT = "repo string, path string, language string, size bigint, content binary, reason string"
+
+
+def _attempt(most: int):
+    """Adds the bytes of each file, or the reason why it has none: it cannot be read, or is too large for a value."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
+                content = reason = None
                 try:
-                    _content(row, most)
+                    content = _content(row, most)
                 except OSError as e:
-                    reason = pa.array([e.strerror or str(e)], pa.string())
-                    yield pa.RecordBatch.from_arrays([row.column("repo"), row.column("path"), reason], ["repo", "path", "reason"])
+                    reason = e.strerror or str(e)
+                yield pa.RecordBatch.from_arrays(
+                    [row.column(c) for c in ("repo", "path", "language", "size")] + [pa.array([content], pa.binary()), pa.array([reason], pa.string())],
+                    ["repo", "path", "language", "size", "content", "reason"],
+                )
 
     return run
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the bytes; a file that cannot be read, or is too large for a value, is left out."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            try:
-                content = _content(row, MOST_BYTES)
-            except OSError:
-                continue
-            yield pa.RecordBatch.from_arrays(
-                [row.column(c) for c in ("repo", "path", "language", "size")] + [pa.array([content], pa.binary())],
-                ["repo", "path", "language", "size", "content"],
-            )
+def _attempts(files: DataFrame, most: int) -> DataFrame:
+    """Open every file of an inventory, in as many tasks as its bytes ask for."""
+    # By bytes to read: the paths themselves are too small to tell how many tasks there should be.
+    total = files.agg(F.sum("size")).first()[0] or 0
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, total // BYTES_PER_TASK + 1)
+    spread = files.repartition(tasks, F.xxhash64("repo", "path"))
+    return spread.select("repo", "root", "path", "language", "size").mapInArrow(_attempt(most), _ATTEMPT)
 
 
 def read_source_files(
@@ -196,21 +199,23 @@ def read_source_files(
     files = scan_inventory(listed, languages, ignore_dirs)
     if not include_content:
         return files.select("repo", "path", "language", "size")
-    # By bytes to read: the paths themselves are too small to tell how many tasks there should be.
-    total = files.agg(F.sum("size")).first()[0] or 0
-    tasks = max(roots.sparkSession.sparkContext.defaultParallelism, total // BYTES_PER_TASK + 1)
-    spread = files.repartition(tasks, F.xxhash64("repo", "path"))
-    return spread.select("repo", "root", "path", "language", "size").mapInArrow(
-        _read, "repo string, path string, language string, size bigint, content binary"
-    )
+    return _attempts(files, MOST_BYTES).filter("reason IS NULL").drop("reason")
+
+
+def read_once(
+    roots: DataFrame, languages: list[str] | None = None, ignore_dirs: dict[str, bool] | None = None, most_bytes: int = MOST_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """What ``read_source_files`` and ``skipped_files`` give, as a written table: every file is opened once."""
+    tried = cut(_attempts(scan_inventory(list_files(roots, ignore_dirs), languages, ignore_dirs), most_bytes))
+    return tried.filter("reason IS NULL").drop("reason"), tried.filter("reason IS NOT NULL").select("repo", "path", "reason")
 
 
 def skipped_files(
     roots: DataFrame, languages: list[str] | None = None, ignore_dirs: dict[str, bool] | None = None, most_bytes: int = MOST_BYTES
 ) -> DataFrame:
-    """repo, path, reason of the files that ``read_source_files`` leaves out."""
+    """repo, path, reason of the files that ``read_source_files`` leaves out; ``read_once`` tells both from one reading."""
     files = scan_inventory(list_files(roots, ignore_dirs), languages, ignore_dirs)
-    return files.select("repo", "root", "path").mapInArrow(_skipped(most_bytes), "repo string, path string, reason string")
+    return _attempts(files, most_bytes).filter("reason IS NOT NULL").select("repo", "path", "reason")
 
 
 def read_source_table(

@@ -71,6 +71,15 @@ def test_hidden_names_rounds_and_links(tmp_path, roots):
     assert left_out["loop.py"] == "Is a directory" and left_out[".github/ci.yml"] == "more than 3 bytes"
 
 
+def test_one_reading_tells_both(tmp_path, roots):
+    root = write(tmp_path / "t", {"a.py": "x", "b.py": "long", "c.go": "y", "d.txt": "z"})
+    files, skipped = trees.read_once(roots(("r", root)), most_bytes=3)
+    for name in ("a.py", "b.py", "c.go"):
+        (tmp_path / "t" / name).unlink()  # neither table goes back to the tree
+    assert sorted((r["path"], bytes(r["content"])) for r in files.collect()) == [("a.py", b"x"), ("c.go", b"y")]
+    assert [tuple(r) for r in skipped.collect()] == [("r", "b.py", "more than 3 bytes")]
+
+
 def test_missing_and_empty_root(tmp_path, roots):
     with pytest.raises(PySparkException):
         trees.read_source_files(roots(("r", str(tmp_path / "none")))).count()

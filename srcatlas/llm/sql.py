@@ -63,3 +63,26 @@ WITH d AS (
 )
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+SQL["op8_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) END AS shingles FROM words
+), sizes AS (
+    SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n FROM sets
+), held AS (
+    SELECT doc_id, unnest(shingles) AS shingle FROM sets
+), shared AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM held x JOIN held y USING (shingle) WHERE x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT a, b FROM shared s JOIN sizes p ON p.doc_id = s.a JOIN sizes q ON q.doc_id = s.b WHERE 100 * s.n >= 85 * (p.n + q.n - s.n)
+), steps AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+    SELECT a AS doc_id, b AS other FROM steps UNION SELECT r.doc_id, s.b FROM reached r JOIN steps s ON s.a = r.other
+)
+SELECT s.doc_id, s.n AS n_shingles, least(s.doc_id, coalesce(r.other, s.doc_id)) AS component_id
+FROM sizes s LEFT JOIN (SELECT doc_id, min(other) AS other FROM reached GROUP BY doc_id) r ON r.doc_id = s.doc_id
+"""

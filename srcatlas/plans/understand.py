@@ -11,6 +11,7 @@ from srcatlas.sources import trees
 
 def call_graph_lines(elements: DataFrame) -> DataFrame:
     """repo, line: ``from (file:line) -> to (file:line)`` per resolved call."""
+    # Fixed value: the form of a line of the listing.
     text = F.format_string(
         "%s (%s:%d) → %s (%s:%d)", "from_name", "from_file", "from_line", "to_name", "to_file", "to_line"
     )

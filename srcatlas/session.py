@@ -61,18 +61,3 @@ def cut(df: DataFrame) -> DataFrame:
     path = new_shared_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def cut_in_buckets(df: DataFrame, *columns: str) -> DataFrame:
-    """``cut``, with the rows kept apart by a hash of the columns and sorted by them.
-
-    A join or grouping on these columns reads such a table where it lies: it is not shuffled
-    again, however often it is used. There are as many buckets as shuffle partitions.
-    """
-    spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path, name = new_shared_path(spark, "buckets"), f"buckets_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, *columns).sortBy(*columns).option("path", path).saveAsTable(name)
-    out = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # the name only: the files belong to the shared folder
-    return out

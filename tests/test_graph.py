@@ -188,18 +188,3 @@ def test_free_hot_name_is_work_for_many_tasks(spark, elements):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-
-
-def test_reachable_over_a_long_chain(spark):
-    """More rounds than tables kept apart, and more starts than a word has bits."""
-    chain = [("r", f"n{i:02}", f"n{i + 1:02}", "calls") for i in range(14)] + [("r", f"s{i}", "n00", "calls") for i in range(150)] + [("r", "n14", "n03", "calls")]
-    names = sorted({x for e in chain for x in e[1:3]})
-    edges = spark.createDataFrame(chain, "repo string, src string, dst string, kind string")
-    nodes = spark.createDataFrame([("r", n, "call") for n in names], "repo string, node_id string, kind string")
-    found = graph.reachable(nodes, edges, nodes, ["calls"])
-    assert found.columns == ["repo", "start", "node_id", "kind"]
-    step = {}
-    for _, a, b, _ in chain:
-        step.setdefault(a, []).append(b)
-    want = sorted((n, t) for n in names for t in walk(step, n))
-    assert sorted((r["start"], r["node_id"]) for r in found.collect()) == want

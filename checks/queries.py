@@ -197,8 +197,19 @@ def scan_run_filtered(spark, sf):
     return detection.filter_by_severity(found, "high").select("repo", "seq", "finding_id", "class", "severity", "title", "file", "start_row", "start_col", "source")
 
 
+def _summary(spark, sf):
+    files, elements = scan.store(I.templated_files(spark, sf))
+    return understand.repo_summary(files, elements)
+
+
 @query
 def tree_info(spark, sf):
+    """Files and elements of a whole code base: statistics and languages, from the bytes."""
+    return _summary(spark, sf)
+
+
+@query
+def tree_listing(spark, sf):
     """Files per language of a source tree, which is listed only."""
     roots = spark.range(1).select(F.lit("web").alias("repo"), F.lit(_write_tree(spark, sf)).alias("root"))
     return understand.tree_info(roots)
@@ -206,9 +217,8 @@ def tree_info(spark, sf):
 
 @query
 def stored_summary(spark, sf):
-    """Files and elements of a whole code base: statistics and languages, from the bytes."""
-    files, elements = scan.store(I.templated_files(spark, sf))
-    return understand.repo_summary(files, elements)
+    """The same summary under its other name."""
+    return _summary(spark, sf)
 
 
 # ---- detection -------------------------------------------------------------------

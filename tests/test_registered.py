@@ -36,3 +36,9 @@ def test_query(spark, con, name):
     want = rows_of(columns, answer.fetchall())
     assert sorted(df.columns) == sorted(columns)
     assert got and got == want
+
+
+def test_tree_info_counts_what_is_in_the_files(spark):
+    rows = QUERIES["tree_info"](spark, FOLDER).collect()
+    assert {"files", "functions", "calls", "imports", "strings", "resolved_calls"} <= {r["measure"] for r in rows}
+    assert any(r["measure"].startswith("language:") for r in rows)

@@ -97,16 +97,20 @@ def list_files(
     ``roots``: repo, root. A root that does not exist is an error. Folders named in
     the ignore list are not entered; a root is entered whatever its name. Each task
     lists up to ``entries_per_task`` entries; the folders left over are spread over
-    all tasks for another round, so a lopsided tree does not stay with one task.
+    all tasks for another round, so a lopsided tree does not stay with one task. Each
+    round may list twice as many as the one before: the number of rounds, and with it
+    what they report to the driver, grows with the logarithm of the entries.
     """
     spark = roots.sparkSession
-    walk = _walk(rules.ignored_dir_names(ignore_dirs), entries_per_task)
+    ignored = rules.ignored_dir_names(ignore_dirs)
     todo = roots.select("repo", "root", F.lit("").alias("path"), F.lit(0).cast("bigint").alias("size"), F.lit(True).alias("is_dir"))
     found = spark.createDataFrame([], _LISTED)
     tasks = max(spark.sparkContext.defaultParallelism, 1)
+    budget = entries_per_task
     while True:
         spread = todo.repartition(tasks, F.xxhash64("root", "path"))
-        listed = cut(spread.mapInArrow(walk, _LISTED))
+        listed = cut(spread.mapInArrow(_walk(ignored, budget), _LISTED))
+        budget *= 2
         found = found.unionByName(listed.filter(~F.col("is_dir")))
         todo = listed.filter("is_dir")
         if todo.isEmpty():

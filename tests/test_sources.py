@@ -134,3 +134,14 @@ def test_semgrep(spark):
     assert [tuple(r[c] for c in place) for r in rows] == [(9, 4, 9, 39), (-1, -1, -1, -1)]
     assert [(r["class"], r["severity"], r["description"]) for r in rows] == [("sql-injection", "high", "m"), ("semgrep-x", "info", "")]
     assert sorted(r["repo"] for r in scanner_reports.bad_reports(reports, "semgrep").collect()) == ["bad", "none"]
+
+
+def test_few_rounds_of_listing(tmp_path, roots, monkeypatch):
+    """Rounds grow with the logarithm of the folders."""
+    tree = {f"d{i}/a.py": "x" for i in range(400)}
+    write(tmp_path, tree)
+    rounds, cut = [], trees.cut
+    monkeypatch.setattr(trees, "cut", lambda df: rounds.append(1) or cut(df))
+    found = trees.list_files(roots(("r", str(tmp_path))), entries_per_task=1)
+    assert {r["path"] for r in found.collect()} == set(tree)
+    assert len(rounds) <= 11

@@ -19,7 +19,9 @@ high probability; the documents of a key are tested against its smallest one and
 are all block keys dealt out, and only blocks that hold several components stay open. In these a few rounds test a random document against those of other components,
 and what then is still open is searched by R-tree for pairs across components, in pieces of ``PIECE``
 documents: those outside of the block's largest component against all. So groups of copies cost one pair per copy and round, and no block is
-gathered in one task.
+gathered in one task. Before a pair's texts meet, its parities must: shingles fall into ``PARITY`` cells, and each
+cell that holds an odd number of one set and an even one of the other holds a shingle of one alone. More
+such cells than a link allows rule the pair out, so no link is lost and few texts travel in vain.
 
 Contracts. Words are runs of bytes other than blank and 0x09-0x0D, A-Z in lower case. A text of
 fewer than ``k`` words is one shingle; null and wordless texts have none and link with nothing. Rows
@@ -44,6 +46,10 @@ LETTERS = bytekit.byte_set([(0x20, 0x20), (0x09, 0x0D)])
 DEALS = 4
 #: Groups of the count vectors, and documents of a block that are compared at once.
 GROUPS, PIECE = 64, 256
+#: Cells of the parities, a multiple of 64.
+PARITY = 1024
+#: Block keys that a bucket holds, about; the number of buckets follows from it.
+BUCKET_KEYS = 500_000
 #: Where counts of a vector end.
 CLIP = 65535
 #: Rounds with one key a document before all block keys are dealt out; they only save work.
@@ -140,6 +146,15 @@ def count_vectors(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.bincount(own * GROUPS + group, minlength=len(sizes) * GROUPS).reshape(len(sizes), GROUPS).clip(max=CLIP).astype(np.uint16)
 
 
+def parities(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each set, as bits of its row: whether the number of its shingles in each of ``PARITY`` cells is odd."""
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    cell = ((bytekit.mix(flat + U64(77)) >> U64(32)) * U64(PARITY)) >> U64(32)
+    out = np.zeros(len(sizes) * (PARITY // 64), U64)
+    np.bitwise_xor.at(out, own * (PARITY // 64) + (cell >> U64(6)).astype(np.int64), U64(1) << (cell & U64(63)))
+    return out.reshape(len(sizes), PARITY // 64)
+
+
 class RTree:
     """A packed R-tree over count vectors: boxes of ``WIDTH`` children, bounds by summed minima."""
 
@@ -180,7 +195,7 @@ class RTree:
 
 
 def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """n_shingles, a 128-bit digest of the set (d1, d2) and its smallest block keys (keys) of each row (doc_id, text)."""
+    """n_shingles, a 128-bit digest of the set (d1, d2), its smallest block keys (keys), their number (n_keys) and its parities of each row (doc_id, text)."""
 
     def run(batches):
         for batch in batches:
@@ -196,9 +211,11 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 for lead in range(LEADS):
                     np.minimum.at(least[:, lead], owners, bytekit.mix(blocks + U64(1000 + lead)))
                 keys = bytekit.list_array(least.view(np.int64).ravel(), np.full(len(sizes), LEADS), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sizes), *digest, keys], ["doc_id", "n_shingles", "d1", "d2", "keys"])
+                n_keys = pa.array(np.bincount(owners, minlength=len(sizes)).astype(np.int64))
+                odd = bytekit.list_array(parities(flat, sizes).view(np.int64).ravel(), np.full(len(sizes), PARITY // 64), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sizes), *digest, keys, n_keys, odd], ["doc_id", "n_shingles", "d1", "d2", "keys", "n_keys", "parity"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, n_keys long, parity array<long>")
 
 
 def _some(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -206,6 +223,15 @@ def _some(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return sieve.maybe(docs, "doc_id", wanted.select("doc_id")).where("maybe").drop("maybe")
 
 
+def possible(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) that sizes and parities of their sets (own: profiles) do not rule out."""
+    sets = own.where("doc_id is not null and n_shingles > 0")
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    odd = "aggregate(zip_with(pa, pb, (x, y) -> bit_count(x ^ y)), 0, (sum, n) -> sum + n)"
+    met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return met.where(f"greatest({odd}, abs(na - nb)) * {100 + percent}L <= (na + nb) * {100 - percent}L").select("a", "b").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Adds ``linked`` to pairs (a, b), by the sets themselves.
 
@@ -260,7 +286,10 @@ def block_members(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFr
             bucket = (keys >> U64(32)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            return [(int(bucket[order[a]]), keys[order[a:b]].tobytes(), ids[order[a:b]].tobytes()) for a, b in zip(edges, np.append(edges[1:], len(keys)))]
+            # keys that agree in 32 bits within a bucket count as equal: more to test, nothing lost; ids go byte by byte, which packs well
+            short = (keys & U64(0xFFFFFFFF)).astype(np.uint32)[order]
+            planes = ids[order].view(np.uint8).reshape(-1, 8)
+            return [(int(bucket[order[a]]), short[a:b].tobytes(), planes[a:b].T.tobytes()) for a, b in zip(edges, np.append(edges[1:], len(keys)))]
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -276,7 +305,8 @@ def block_members(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFr
 
     def shared_only(batches):
         for group in sieve.grouped(batches, 1):
-            keys, ids = (np.concatenate([np.frombuffer(x, t) for x in group.column(i).to_pylist()]) for i, t in ((1, U64), (2, np.int64)))
+            keys = np.concatenate([np.frombuffer(x, np.uint32) for x in group.column(1).to_pylist()])
+            ids = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T) for x in group.column(2).to_pylist()]).view(np.int64).ravel()
             order = np.lexsort((ids, keys))
             keys, ids = keys[order], ids[order]
             if not len(keys):
@@ -286,10 +316,11 @@ def block_members(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFr
             several = np.repeat(ids[first] != ids[last], last - first + 1)
             several[1:] &= (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
             if several.any():
-                yield pa.RecordBatch.from_arrays([pa.array(keys[several].view(np.int64)), pa.array(ids[several])], ["key", "doc_id"])
+                whole = keys[several].astype(np.int64) | (group.column(0)[0].as_py() << 32)
+                yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(ids[several])], ["key", "doc_id"])
 
     packed = docs.select("doc_id", "text").mapInArrow(deal, "bucket int, keys binary, ids binary")
-    return sieve.by_bucket(packed).mapInArrow(shared_only, "key long, doc_id long")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(shared_only, "key long, doc_id long")
 
 
 def vectors(docs: DataFrame, k: int) -> DataFrame:
@@ -354,10 +385,10 @@ def _representatives(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps.select(F.col("rep").alias("doc_id"), "keys"), some.join(reps.drop("keys"), ["n_shingles", "d1", "d2"]).select("doc_id", "rep")
 
 
-def _tested(pairs: DataFrame, labels: DataFrame, tested: DataFrame | None, known: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """All pairs tested so far, and the labels united by the links among new ones."""
+def _tested(pairs: DataFrame, labels: DataFrame, tested: DataFrame | None, own: DataFrame, known: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All pairs tested on their texts so far, and the labels united by the links among new ones."""
     fresh = pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    now = cut(verified(cut(fresh), known, k, percent))
+    now = cut(verified(cut(possible(cut(fresh), own, percent)), known, k, percent))
     return now if tested is None else tested.unionByName(now), cut(_united(labels, now.where("linked")))
 
 
@@ -377,21 +408,23 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         members = reps.select("doc_id", F.col("keys")[lead].alias("key")).join(labels, "doc_id")
         centre = members.groupBy("key").agg(F.min(F.struct("doc_id", "component")).alias("c"), F.max("component").alias("high")).where("c.component < high").drop("high")
         star = members.join(centre, "key").where("component <> c.component").select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-        tested, labels = _tested(star, labels, tested, known, k, percent)
+        tested, labels = _tested(star, labels, tested, own, known, k, percent)
     wanted = reps.select("doc_id").distinct()
-    shared = cut(block_members(_some(known, wanted), k, percent, sieve.bucket_count(docs))).join(labels, "doc_id")
+    n_keys = rows.select("rep").distinct().join(own.select(F.col("doc_id").alias("rep"), "n_keys"), "rep").agg(F.sum("n_keys")).first()[0] or 0
+    buckets = max(sieve.bucket_count(docs), -(-n_keys // BUCKET_KEYS))
+    shared = cut(block_members(_some(known, wanted), k, percent, buckets)).join(labels, "doc_id")
     mixed = shared.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     members = cut(shared.join(mixed, "key", "left_semi").select("key", "doc_id", "component"))
     for turn in range(ROUNDS):
         centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "component")).alias("c"))
         star = members.join(centre, "key").where("component <> c.component").select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
-        tested, labels = _tested(star, labels, tested, known, k, percent)
+        tested, labels = _tested(star, labels, tested, own, known, k, percent)
         fresh = members.drop("component").join(labels, "doc_id")
         still = fresh.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         members = cut(fresh.join(still, "key", "left_semi").select("key", "doc_id", "component"))
     wanted = members.select("doc_id").distinct()
     points = cut(vectors(_some(known, wanted).join(wanted, "doc_id", "left_semi"), k))
-    _, labels = _tested(tree_pairs(members, points, percent), labels, tested, known, k, percent)
+    _, labels = _tested(tree_pairs(members, points, percent), labels, tested, own, known, k, percent)
     found = rows.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(labels.withColumnRenamed("doc_id", "rep"), "rep").select("doc_id", "component")
     return own.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -107,3 +107,37 @@ def test_tree_keeps_pairs_whose_counts_are_clipped():
     points = jj.count_vectors(flat, sizes)
     asked, found = jj.RTree(points, sizes).search(points, sizes, 80)
     assert (asked.tolist(), found.tolist()) == ([0], [0])
+
+
+def test_parities_rule_out_no_link():
+    rng = np.random.default_rng(6)
+    for size in (1, 5, 40, 300, 1500):
+        base = rng.integers(1, 1 << 63, size, dtype=np.uint64)
+        other = rng.integers(1, 1 << 63, size, dtype=np.uint64)
+        for drop in {0, size // 40, size // 13}:
+            b = np.concatenate([base[drop:], rng.integers(1, 1 << 63, drop, dtype=np.uint64)])
+            x, y, z = jj.parities(np.concatenate([base, b, other]), np.array([size] * 3))
+            assert np.bitwise_count(x ^ y).sum() <= 2 * drop
+            assert size < 40 or np.bitwise_count(x ^ z).sum() * 185 > 2 * size * 15
+
+
+def test_few_texts_meet_and_buckets_follow_the_block_keys(spark, monkeypatch):
+    """Documents that share all but a few words: blocks in common, hardly a link."""
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(60)]
+    docs = []
+    for i in range(120):
+        w = list(common)
+        for at in rng.sample(range(60), 6):
+            w[at] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+        if i % 20 == 0:
+            docs.append((1000 + i, docs[-1][1] + " more"))
+    sent, given, verified, block_members = [], [], jj.verified, jj.block_members
+    monkeypatch.setattr(jj, "BUCKET_KEYS", 50, raising=False)
+    monkeypatch.setattr(jj, "verified", lambda pairs, *rest: sent.append(pairs.count()) or verified(pairs, *rest))
+    monkeypatch.setattr(jj, "block_members", lambda *a: given.append(a[-1]) or block_members(*a))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jj.groups(df).collect()), key=str) == brute(docs)
+    assert sum(sent) <= 20
+    assert given[0] > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -19,9 +19,11 @@ high probability; the documents of a key are tested against its smallest one and
 are all block keys dealt out, and only blocks that hold several components stay open. In these a few rounds test a random document against those of other components,
 and what then is still open is searched by R-tree for pairs across components, in pieces of ``PIECE``
 documents: those outside of the block's largest component against all. So groups of copies cost one pair per copy and round, and no block is
-gathered in one task. Before a pair's texts meet, its parities must: shingles fall into ``PARITY`` cells, and each
-cell that holds an odd number of one set and an even one of the other holds a shingle of one alone. More
-such cells than a link allows rule the pair out, so no link is lost and few texts travel in vain.
+gathered in one task. Keys with the same documents count as one. Before a pair's texts meet, its parities must: shingles fall into
+``PARITY`` cells, and each cell that holds an odd number of one set and an even one of the other holds a shingle of one
+alone. More such cells than a link allows rule the pair out, so few texts travel in vain. Of a set too large for its cells
+a share of the shingles is taken, by hash, a half, a quarter and so on; then as many cells more rule the pair out as
+the share of what a link allows has with a probability below e**-``SAFE``. The tree's pairs are sifted where they are found.
 
 Contracts. Words are runs of bytes other than blank and 0x09-0x0D, A-Z in lower case. A text of
 fewer than ``k`` words is one shingle; null and wordless texts have none and link with nothing. Rows
@@ -46,8 +48,10 @@ LETTERS = bytekit.byte_set([(0x20, 0x20), (0x09, 0x0D)])
 DEALS = 4
 #: Groups of the count vectors, and documents of a block that are compared at once.
 GROUPS, PIECE = 64, 256
-#: Cells of the parities, a multiple of 64.
-PARITY = 1024
+#: Cells of the parities, a power of two from 64 on, and the bits of the largest size that has all shingles in them.
+PARITY, ALL_BITS = 1024, 10
+#: A sampled parity loses a link with a probability below e**-SAFE.
+SAFE = 40
 #: Block keys that a bucket holds, about; the number of buckets follows from it.
 BUCKET_KEYS = 500_000
 #: Where counts of a vector end.
@@ -146,15 +150,45 @@ def count_vectors(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.bincount(own * GROUPS + group, minlength=len(sizes) * GROUPS).reshape(len(sizes), GROUPS).clip(max=CLIP).astype(np.uint16)
 
 
-def parities(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each set, as bits of its row: whether the number of its shingles in each of ``PARITY`` cells is odd."""
+def levels(sizes: np.ndarray) -> np.ndarray:
+    """How often the shingles of sets are halved before they fill the cells."""
+    return np.maximum(np.frexp(sizes)[1] - ALL_BITS, 0)
+
+
+def parities(flat: np.ndarray, sizes: np.ndarray, more: int = 0) -> np.ndarray:
+    """For each set, as bits of its row: whether the number of its shingles in each of ``PARITY`` cells is odd.
+
+    Of the shingles of its level, halved ``more`` often.
+    """
     own = np.repeat(np.arange(len(sizes)), sizes)
-    cell = ((bytekit.mix(flat + U64(77)) >> U64(32)) * U64(PARITY)) >> U64(32)
+    hashes = bytekit.mix(flat + U64(77))
+    use = hashes >> U64(1) >> (U64(63) - (levels(sizes) + more).astype(U64)[own]) == 0
+    own, cell = own[use], hashes[use] & U64(PARITY - 1)
     out = np.zeros(len(sizes) * (PARITY // 64), U64)
     np.bitwise_xor.at(out, own * (PARITY // 64) + (cell >> U64(6)).astype(np.int64), U64(1) << (cell & U64(63)))
     return out.reshape(len(sizes), PARITY // 64)
 
 
+def packed_parities(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The parities of each set for its own level and for the next."""
+    both = np.concatenate([parities(flat, sizes, more) for more in (0, 1)], axis=1)
+    return pa.array([p.tobytes() for p in both], pa.binary())
+
+
+def allowed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Of pairs of sets (rows: size, parities): whether these allow a link."""
+    (na, pa), (nb, pb) = a, b
+    la, lb = levels(na), levels(nb)
+    level = np.maximum(la, lb)
+    at = np.arange(len(na))
+    part = lambda p, own: p.reshape(len(p), 2, PARITY // 64)[at, np.minimum(level - own, 1)]
+    odd = np.bitwise_count(part(pa, la) ^ part(pb, lb)).sum(axis=1, dtype=np.int64)
+    most = (na + nb) * (100 - percent) // (100 + percent)
+    mean = most / 2.0 ** level
+    bound = np.where(level == 0, most, mean + SAFE / 3 + np.sqrt(SAFE * SAFE / 9 + 2 * SAFE * mean))
+    return (np.abs(na - nb) <= most) & ((odd <= bound) | (np.abs(la - lb) > 1))
+
+
 class RTree:
     """A packed R-tree over count vectors: boxes of ``WIDTH`` children, bounds by summed minima."""
 
@@ -212,24 +246,33 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     np.minimum.at(least[:, lead], owners, bytekit.mix(blocks + U64(1000 + lead)))
                 keys = bytekit.list_array(least.view(np.int64).ravel(), np.full(len(sizes), LEADS), pa.int64())
                 n_keys = pa.array(np.bincount(owners, minlength=len(sizes)).astype(np.int64))
-                odd = bytekit.list_array(parities(flat, sizes).view(np.int64).ravel(), np.full(len(sizes), PARITY // 64), pa.int64())
+                odd = packed_parities(flat, sizes)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sizes), *digest, keys, n_keys, odd], ["doc_id", "n_shingles", "d1", "d2", "keys", "n_keys", "parity"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, n_keys long, parity array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, n_keys long, parity binary")
 
 
 def _some(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose doc_id may be wanted: all that are, few others; their texts do not leave the JVM."""
+    """The rows whose doc_id may be wanted: all that are, few others; the others' texts do not leave the JVM."""
     return sieve.maybe(docs, "doc_id", wanted.select("doc_id")).where("maybe").drop("maybe")
 
 
+def _parities(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), U64).reshape(-1, 2 * PARITY // 64)
+
+
 def possible(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs (a, b) that sizes and parities of their sets (own: profiles) do not rule out."""
     sets = own.where("doc_id is not null and n_shingles > 0")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
-    odd = "aggregate(zip_with(pa, pb, (x, y) -> bit_count(x ^ y)), 0, (sum, n) -> sum + n)"
     met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return met.where(f"greatest({odd}, abs(na - nb)) * {100 + percent}L <= (na + nb) * {100 - percent}L").select("a", "b").distinct()
+
+    def run(batches):
+        for batch in batches:
+            a, b = ((batch.column(f"n{x}").to_numpy(), _parities(batch.column(f"p{x}"))) for x in "ab")
+            yield batch.select(["a", "b"]).filter(pa.array(allowed(a, b, percent)))
+
+    return met.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -328,13 +371,14 @@ def vectors(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for rows, flat, sizes in sets(batch.column(1), k):
                 points = count_vectors(flat, sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sizes), pa.array([p.tobytes() for p in points], pa.binary())], ["doc_id", "n", "point"])
+                packed = pa.array([p.tobytes() for p in points], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sizes), packed, packed_parities(flat, sizes)], ["doc_id", "n", "point", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, point binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, point binary, parity binary")
 
 
 def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a block and of different components whose count vectors allow a link.
+    """Pairs (a, b) of a block and of different components whose count vectors and parities allow a link.
 
     Nothing is left to find within a block's largest component. So its members outside of that one are asked
     for, in pieces, against pieces of all members: a large component with a few other documents costs one
@@ -344,7 +388,7 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
         F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("largest"))
     sizes = counts.select("key", F.col("largest.component").alias("largest"), F.ceil(F.col("n") / PIECE).alias("pieces"), F.ceil((F.col("n") - F.col("largest.n")) / PIECE).alias("parts"))
     rows = members.join(sizes, "key").join(points, "doc_id").withColumns({"i": F.pmod(F.xxhash64("doc_id"), F.col("pieces")), "j": F.pmod(F.xxhash64("doc_id"), F.col("parts"))})
-    columns = ["doc_id", "component", "n", "point"]
+    columns = ["doc_id", "component", "n", "point", "parity"]
     every = rows.select("key", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), F.lit(False).alias("asked"), *columns)
     asked = rows.where("component <> largest").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("i"), "j", F.lit(True).alias("asked"), *columns)
     spread = every.unionByName(asked).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
@@ -353,13 +397,15 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
         for group in sieve.grouped(batches, 3):
             left = group.column(3).to_numpy()
             ids, labels, sizes = (group.column(i).to_numpy() for i in (4, 5, 6))
-            points = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint16).reshape(-1, GROUPS)
+            points, odd = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint16).reshape(-1, GROUPS), _parities(group.column(8))
             l, r = np.flatnonzero(left), np.flatnonzero(~left)
             if not len(l) or not len(r):
                 continue
             asked, found = RTree(points[r], sizes[r]).search(points[l], sizes[l], percent)
             a, b = l[asked], r[found]
             keep = (labels[a] != labels[b]) & (ids[a] != ids[b])
+            a, b = a[keep], b[keep]
+            keep = allowed((sizes[a], odd[a]), (sizes[b], odd[b]), percent)
             if keep.any():
                 x, y = ids[a[keep]], ids[b[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
@@ -385,6 +431,11 @@ def _representatives(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps.select(F.col("rep").alias("doc_id"), "keys"), some.join(reps.drop("keys"), ["n_shingles", "d1", "d2"]).select("doc_id", "rep")
 
 
+def _sketches(own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of profiles what ``possible`` looks at, written, for the wanted documents and few others."""
+    return cut(_some(own.where("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "parity"), wanted))
+
+
 def _tested(pairs: DataFrame, labels: DataFrame, tested: DataFrame | None, own: DataFrame, known: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """All pairs tested on their texts so far, and the labels united by the links among new ones."""
     fresh = pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -408,23 +459,28 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         members = reps.select("doc_id", F.col("keys")[lead].alias("key")).join(labels, "doc_id")
         centre = members.groupBy("key").agg(F.min(F.struct("doc_id", "component")).alias("c"), F.max("component").alias("high")).where("c.component < high").drop("high")
         star = members.join(centre, "key").where("component <> c.component").select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-        tested, labels = _tested(star, labels, tested, own, known, k, percent)
+        star = cut(star)
+        tested, labels = _tested(star, labels, tested, _sketches(own, star.select(F.explode(F.array("a", "b")).alias("doc_id"))), known, k, percent)
     wanted = reps.select("doc_id").distinct()
     n_keys = rows.select("rep").distinct().join(own.select(F.col("doc_id").alias("rep"), "n_keys"), "rep").agg(F.sum("n_keys")).first()[0] or 0
     buckets = max(sieve.bucket_count(docs), -(-n_keys // BUCKET_KEYS))
     shared = cut(block_members(_some(known, wanted), k, percent, buckets)).join(labels, "doc_id")
-    mixed = shared.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    # keys with the same documents are one: their number and two sums of hashes tell
+    same = [F.bit_xor(F.xxhash64(F.lit(salt), "doc_id")).alias(f"x{salt}") for salt in (1, 2)]
+    mixed = shared.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), *same).where("low < high")
+    mixed = mixed.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key")
     members = cut(shared.join(mixed, "key", "left_semi").select("key", "doc_id", "component"))
+    sketches = _sketches(own, members)
     for turn in range(ROUNDS):
         centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "component")).alias("c"))
         star = members.join(centre, "key").where("component <> c.component").select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
-        tested, labels = _tested(star, labels, tested, own, known, k, percent)
+        tested, labels = _tested(star, labels, tested, sketches, known, k, percent)
         fresh = members.drop("component").join(labels, "doc_id")
         still = fresh.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         members = cut(fresh.join(still, "key", "left_semi").select("key", "doc_id", "component"))
     wanted = members.select("doc_id").distinct()
-    points = cut(vectors(_some(known, wanted).join(wanted, "doc_id", "left_semi"), k))
-    _, labels = _tested(tree_pairs(members, points, percent), labels, tested, own, known, k, percent)
+    points = cut(vectors(_some(known, wanted), k).join(wanted, "doc_id", "left_semi"))
+    _, labels = _tested(tree_pairs(members, points, percent), labels, tested, sketches, known, k, percent)
     found = rows.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(labels.withColumnRenamed("doc_id", "rep"), "rep").select("doc_id", "component")
     return own.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

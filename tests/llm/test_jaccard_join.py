@@ -141,3 +141,37 @@ def test_few_texts_meet_and_buckets_follow_the_block_keys(spark, monkeypatch):
     assert sorted(map(tuple, jj.groups(df).collect()), key=str) == brute(docs)
     assert sum(sent) <= 20
     assert given[0] > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_parities_of_large_sets_rule_pairs_out():
+    """Sets of more shingles than cells, of one level and of two: links pass, sets with little in common do not."""
+    rng = np.random.default_rng(9)
+    draw = lambda n: rng.integers(1, 1 << 63, n, dtype=np.uint64)
+    for size in (1020, 3000, 4100, 20_000):
+        for percent in (80, 85):
+            base = draw(size)
+            drop = size * (100 - percent) // 100
+            linked = [base, base[drop:], np.concatenate([base[drop // 2:], draw(drop // 2 * percent // 100)])]
+            others = [draw(size), np.concatenate([base[:size // 3], draw(size - size // 3)])]
+            sets = linked + others
+            sizes = np.array([len(x) for x in sets])
+            odd = np.frombuffer(b"".join(jj.packed_parities(np.concatenate(sets), sizes).to_pylist()), np.uint64).reshape(len(sets), -1)
+            one, many = (sizes[[0] * len(sets)], odd[[0] * len(sets)]), (sizes, odd)
+            assert jj.allowed(one, many, percent).tolist() == [True, True, True, False, False], (size, percent)
+            assert jj.allowed(many, one, percent).tolist() == [True, True, True, False, False]
+
+
+def test_large_texts_with_a_passage_in_common_do_not_meet(spark, monkeypatch):
+    """Texts too large for the cells, in one block through common passages, no two of them linked but the planted ones."""
+    rng = random.Random(12)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = say(400)
+    docs = [(i, " ".join(say(2600) + passage)) for i in range(24)]
+    docs += [(100 + i, docs[i][1] + " and more") for i in range(3)]
+    sent, kept, verified, tree_pairs = [], [], jj.verified, jj.tree_pairs
+    monkeypatch.setattr(jj, "verified", lambda pairs, *rest: sent.append(pairs.count()) or verified(pairs, *rest))
+    monkeypatch.setattr(jj, "tree_pairs", lambda *a: kept.append(tree_pairs(*a).count()) or tree_pairs(*a))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jj.groups(df, k=5, percent=80).collect()), key=str) == sorted(((i, len(shingles(t, 5)), i % 100) for i, t in docs), key=str)
+    assert sum(sent) <= 6
+    assert kept == [0]
